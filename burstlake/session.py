@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def get_session(master: str | None = None, partitions: int | None = None, app: str = "burstlake") -> SparkSession:
@@ -53,3 +54,31 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and drop its lineage (survives a lost executor)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Materialise df as a Parquet table in the shared folder.
+
+    For steps of an iteration: unlike a checkpoint it carries its real size and not the product of the
+    estimates of all joins before it.  The order and number of partitions are not kept.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def table_with_any(df: DataFrame, condition) -> tuple[DataFrame, bool]:
+    """table(df), and whether any of its rows meets the condition; counted while it is written, without a job of its own."""
+    seen = Observation()
+    out = table(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return out, seen.get["n"] > 0
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a table() that no later plan reads."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "_shared_path", None)
+    if path:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
