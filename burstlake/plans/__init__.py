@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import records
+from . import records, signals
 
-MODULES = (records,)
+MODULES = (records, signals)
 
 
 def core_queries() -> dict:
