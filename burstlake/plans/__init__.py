@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import records, signals
+from . import generated, records, signals
 
-MODULES = (records, signals)
+MODULES = (records, signals, generated)
 
 
 def core_queries() -> dict:
