@@ -114,8 +114,8 @@ def category_counts(rows: DataFrame, targets: DataFrame, key: str = "idx") -> tu
     Of repeated rows of a key the smallest category counts (nulls last); null keys are left out.
     """
     cat = F.struct(F.col("modcod").isNull() | F.col("label").isNull(), F.lower(F.trim("label")).alias("label_class"), "modcod")
-    one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(cat).alias("c"))
-    one = cut(one.select(key, "c.label_class", "c.modcod"))
+    one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(cat).alias("_c"))
+    one = cut(one.select(key, "_c.label_class", "_c.modcod"))
     t = targets.select(F.lower(F.trim("label_class")).alias("label_class"), "modcod", "target_share", "min_rows")
     have = one.groupBy("label_class", "modcod").agg(F.count(F.lit(1)).alias("available"))
     cond = t["label_class"].eqNullSafe(have["label_class"]) & t["modcod"].eqNullSafe(have["modcod"])

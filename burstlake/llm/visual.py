@@ -270,13 +270,13 @@ def one_form(df: DataFrame, text: str = "text", out: str = "text_form") -> DataF
 
 
 def look_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, look, stored): 128-bit fingerprints of the one form and of the text as stored.
+    """(key, _look, _stored): 128-bit fingerprints of the one form and of the text as stored.
 
     Rows with a null text are left out: nothing is drawn, so nothing looks the same.
     """
     maps = _forms(df.sparkSession)
-    small = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    kind = small.schema["k"].dataType.simpleString()
+    small = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
+    kind = small.schema["_k"].dataType.simpleString()
 
     def run(batches):
         f = former(maps.value)
@@ -287,9 +287,9 @@ def look_ids(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 h = _digest(s)
                 stored.append(h)
                 looks.append(h if formed is s else _digest(formed))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(looks, pa.binary()), pa.array(stored, pa.binary())], names=["k", "look", "stored"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(looks, pa.binary()), pa.array(stored, pa.binary())], names=["_k", "_look", "_stored"])
 
-    return small.mapInArrow(run, f"k {kind}, look binary, stored binary").withColumnRenamed("k", key)
+    return small.mapInArrow(run, f"_k {kind}, _look binary, _stored binary").withColumnRenamed("_k", key)
 
 
 def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,9 +300,9 @@ def look_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     the rows meet their class through a join salted for hot classes.
     """
     ids = cut(look_ids(df, key, text))
-    per = ids.groupBy("look", "stored").agg(F.min(key).alias("lo"), F.count(F.lit(1)).alias("n"))
-    classes = per.groupBy("look").agg(F.min("lo").alias("look_class"), F.sum("n").alias("n_same_look"), F.count(F.lit(1)).alias("n_stored_forms"))
-    return salted_join(ids, classes, ["look"], spread=key).select(key, "look_class", "n_same_look", "n_stored_forms")
+    per = ids.groupBy("_look", "_stored").agg(F.min(key).alias("_lo"), F.count(F.lit(1)).alias("_m"))
+    classes = per.groupBy("_look").agg(F.min("_lo").alias("look_class"), F.sum("_m").alias("n_same_look"), F.count(F.lit(1)).alias("n_stored_forms"))
+    return salted_join(ids, classes, ["_look"], spread=key).select(key, "look_class", "n_same_look", "n_stored_forms")
 
 
 def look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,13 +312,13 @@ def look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     they are attached to each differing form afterwards, so the work is bounded by the result.
     """
     ids = cut(look_ids(df, key, text))
-    forms = ids.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"))
-    varied = forms.groupBy("look").agg(F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1").select("look")
-    forms = cut(forms.join(varied, "look", "left_semi").select("look", "stored"))
-    members = cut(ids.join(forms.select("stored"), "stored", "left_semi").select("stored", F.col(key).alias("k")))
-    a = forms.select("look", F.col("stored").alias("stored"))
-    b = forms.select("look", F.col("stored").alias("other"))
-    pairs = a.join(b, "look").where(F.col("stored") < F.col("other")).select("stored", "other")
-    left = salted_join(members, pairs, ["stored"], spread="k").select(F.col("other").alias("stored"), F.col("k").alias("k1"))
-    both = salted_join(left, members.withColumnRenamed("k", "k2"), ["stored"], spread="k1")
-    return both.where("k1 <> k2").select(F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b")).distinct()
+    forms = ids.groupBy("_look", "_stored").agg(F.count(F.lit(1)).alias("_m"))
+    varied = forms.groupBy("_look").agg(F.count(F.lit(1)).alias("_n_forms")).where("_n_forms > 1").select("_look")
+    forms = cut(forms.join(varied, "_look", "left_semi").select("_look", "_stored", "_m"))
+    members = cut(ids.join(forms.select("_stored"), "_stored", "left_semi").select("_stored", F.col(key).alias("_k")))
+    b = forms.select("_look", F.col("_stored").alias("_other"), F.col("_m").alias("_n"))
+    # the form with more copies comes first: its rows are the ones that get salted
+    pairs = forms.join(b, "_look").where((F.col("_m") > F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("_stored") < F.col("_other")))).select("_stored", "_other")
+    left = salted_join(members, pairs, ["_stored"], spread="_k").select(F.col("_other").alias("_stored"), F.col("_k").alias("_k1"))
+    both = salted_join(left, members.withColumnRenamed("_k", "_k2"), ["_stored"], spread="_k1")
+    return both.where("_k1 <> _k2").select(F.least("_k1", "_k2").alias(f"{key}_a"), F.greatest("_k1", "_k2").alias(f"{key}_b")).distinct()
