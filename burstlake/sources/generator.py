@@ -78,7 +78,7 @@ def select_targets(df: DataFrame, target_labels: list[str] | None, single: bool)
         return df
     if not target_labels:
         return df.select("sample_id", "i", "q")
-    fields = [F.transform("components", lambda c, n=n: c[n].cast("string")) for n in target_labels]
+    fields = [F.transform(F.col("components")[n], lambda v: v.cast("string")) for n in target_labels]
     if single:
         fields = [F.get(f, F.lit(0)) for f in fields]
     return df.select("sample_id", "i", "q", (fields[0] if len(fields) == 1 else F.array(*fields)).alias("targets"))
