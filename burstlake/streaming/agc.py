@@ -14,12 +14,13 @@ from ..kernels.channel import agc
 OUT = "signal_id bigint, chunk bigint, i array<float>, q array<float>"
 
 
-def agc_stream(chunks: DataFrame, initial_gain_db: float = 0.0, timeout_ms: int = 3_600_000, **params) -> DataFrame:
+def agc_stream(chunks: DataFrame, initial_gain_db: float = 0.0, timeout_ms: int | None = None, **params) -> DataFrame:
     """chunks: a stream of (signal_id, chunk, i, q) -> the same, gain controlled as if each signal were one array.
 
     Chunks of a signal within a micro-batch are taken in order; a chunk that comes in a later batch than
-    its successors continues from the state as it is then.  Null or empty chunks pass.  The state of a
-    signal is dropped after ``timeout_ms`` without a chunk.
+    its successors continues from the state as it is then.  Null or empty chunks pass.  With ``timeout_ms``
+    the state of a signal is dropped after that time without a chunk; processing-time timeouts keep a
+    query running, so such a query does not end under an available-now trigger.
     """
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,9 +47,10 @@ def agc_stream(chunks: DataFrame, initial_gain_db: float = 0.0, timeout_ms: int
             yield pd.DataFrame([{"signal_id": row.signal_id, "chunk": row.chunk, "i": y.real.astype(np.float32), "q": y.imag.astype(np.float32)}])
         if not first:
             state.update((float(level), float(gain)))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
-    return chunks.select("signal_id", "chunk", "i", "q").groupBy("signal_id").applyInPandasWithState(run, OUT, "level double, gain double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.select("signal_id", "chunk", "i", "q").groupBy("signal_id").applyInPandasWithState(run, OUT, "level double, gain double", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def gain_after_zero(gain: float, params: dict) -> float:

@@ -52,7 +52,7 @@ def test_load(spark):
 def test_files(spark):
     df = spark.createDataFrame([("f", '1,a,2,5\n2,"b,2,5\n3,c,2,5'), ("g", None)], "name string, content string")
     got = M.parse_files(df).orderBy("start").collect()
-    assert [(r.name, r.record.index if r.record else r.error.reason) for r in got] == [("f", 1), ("f", "broken_quoting"), ("f", 3)]
+    assert [(r.name, r.record["index"] if r.record else r.error.reason) for r in got] == [("f", 1), ("f", "broken_quoting"), ("f", 3)]
 
 
 # --- intervals ------------------------------------------------------------------------------------------------------
