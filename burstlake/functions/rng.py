@@ -64,3 +64,9 @@ def distribution(params, scaling: str = "linear"):
 def normal_integers(u: Column, low: int, high: int) -> Column:
     """Whole number in [low, high)."""
     return (F.lit(low) + F.floor(u * (high - low))).cast("bigint")
+
+
+def several(seed: int, op: str, n: int, params, scaling: str = "linear", keys=()) -> Column:
+    """n independent draws of a distribution as an array."""
+    make = distribution(params, scaling)
+    return F.array(*[make(uniform(seed, f"{op}.{k}", *keys)) for k in range(n)])

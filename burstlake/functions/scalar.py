@@ -142,3 +142,8 @@ def require(df: DataFrame, columns: dict[str, str] | list[str]) -> DataFrame:
         if isinstance(columns, dict) and columns[c] != have[c]:
             raise ValueError(f"column {c} is {have[c]}, not {columns[c]}")
     return df
+
+
+def names_any(name: Column, possible) -> Column:
+    """True if any of the given names occurs in the class name."""
+    return F.exists(F.array(*[F.lit(p) for p in possible]), lambda p: F.contains(F.lower(name), p))

@@ -24,7 +24,7 @@ def links(df: DataFrame, node: str = "metadata_id", parent: str = "parent_metada
 
     Null nodes are left out.  If the rows of a node disagree, the smallest parent that is present counts.
     """
-    p = F.trim(F.col(parent).cast("string"))
+    p = F.btrim(F.col(parent).cast("string"), F.lit(" \t\r\n"))
     return df.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("string").alias("id")).agg(F.min(F.when(p != "", p)).alias("parent"))
 
 

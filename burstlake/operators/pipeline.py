@@ -190,9 +190,12 @@ def apply(df: DataFrame, *chain, key: str = "sample_id", seed: int = 0, keep_dra
     if not chain:
         return df
     d = effects(draws(df, chain, key, seed, "draws"), chain)
+    # the noise level of the sample, where there is one, is known to the ops
+    given = [c for c in ("noise_power_db",) if c in df.columns]
 
     def run_chain(k, x, row):
         dr = row["draws"]
+        known = {n: row[n] for n in given if row[n] is not None}
 
         def walk(items, path, x):
             for n, s in enumerate(items):
@@ -204,13 +207,13 @@ def apply(df: DataFrame, *chain, key: str = "sample_id", seed: int = 0, keep_dra
                         x = walk(steps(s.ops[j]), f"{at}p{j}_", x)
                 else:
                     r = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, (hash_key(k) + hash_key(at)) & 0xFFFFFFFFFFFFFFFF]))
-                    p = s.fixed | {name: dr[f"{at}_{name}"] for name in s.draws}
+                    p = known | s.fixed | {name: dr[f"{at}_{name}"] for name in s.draws}
                     x = s(x, p, r).astype(np.complex64)
             return x
 
         return walk(chain, "t", x) if len(x) else x
 
-    d = kernel_pass(d, run_chain, ["draws"], key)
+    d = kernel_pass(d, run_chain, ["draws", *given], key)
     return d if keep_draws else d.drop("draws")
 
 
@@ -231,6 +234,33 @@ def spectrograms(df: DataFrame, size: int, stride: int | None = None, out: str =
     return _derived(df, make, out, T.ArrayType(T.ArrayType(T.FloatType())), pa.list_(pa.list_(pa.float32())))
 
 
+def spectrogram_drops(df: DataFrame, rate=(0.001, 0.005), size=(1, 10), fill=("ffill", "bfill", "mean", "zero", "low", "min", "max", "ones"), key: str = "sample_id", seed: int = 0, column: str = "spectrogram") -> DataFrame:
+    """Random stretches of each spectrogram filled; how many follows from its bins, what with from the draw of the row."""
+    from ..kernels.channel import spectrogram_drop
+
+    names = df.columns
+    d = df.withColumn("_d", F.struct(rng.distribution(tuple(rate))(rng.uniform(seed, "sdrop.rate", key)).alias("rate"), rng.distribution(list(fill))(rng.uniform(seed, "sdrop.fill", key)).alias("fill")))
+    schema = T.StructType([f for f in df.schema.fields])
+
+    def run(batches):
+        for b in batches:
+            at = {n: k for k, n in enumerate(b.schema.names)}
+            out = []
+            for k, s, p in zip(*(b.column(at[c]).to_pylist() for c in (key, column, "_d"))):
+                if s:
+                    x = np.array(s)
+                    r = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, hash_key(f"sdrop{k}")]))
+                    n = max(1, int(p["rate"] * x.size))
+                    sizes = np.round(r.uniform(*size, n)).astype(int).clip(1, max(1, x.size // 4))
+                    x = spectrogram_drop(x, [int(r.integers(1, max(2, x.size - z - 1))) for z in sizes], sizes, p["fill"])
+                    s = x.astype(np.float32).tolist()
+                out.append(s)
+            new = pa.array(out, pa.list_(pa.list_(pa.float32())))
+            yield pa.RecordBatch.from_arrays([new if n == column else b.column(at[n]) for n in names], names=names)
+
+    return d.mapInArrow(run, schema)
+
+
 def images(df: DataFrame, size: int, stride: int | None = None, black_hot: bool = True, out: str = "image") -> DataFrame:
     """Adds the spectrogram image: struct<h, w, c, data binary>, rows from the highest frequency."""
     from ..kernels.channel import spectrogram_image

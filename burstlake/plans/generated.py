@@ -110,6 +110,13 @@ def spec_kernel(spark, d):
     return x.select("vec_id", F.col("frame").cast("bigint").alias("frame"), "bin", F.round(F.col("db").cast("double"), 2).alias("db"))
 
 
+@q
+def tf_SpectrogramDropSamples(spark, d):
+    """Random fills of every signal's spectrogram."""
+    x = pipeline.spectrogram_drops(pipeline.spectrograms(_signals(spark, d).select("sample_id", "i", "q"), 16, 8), (0.05, 0.2), seed=7)
+    return x.select("sample_id", F.size("spectrogram").alias("bins"), F.round(F.aggregate(F.flatten("spectrogram"), F.lit(0.0), lambda a, b: a + b.cast("double")), 2).alias("total"))
+
+
 @q
 def spec_images(spark, d):
     """Image size and mean grey of every signal."""

@@ -380,6 +380,25 @@ def ds_split(spark, d):
     return labels.split(t(spark, d, "signal_metadata").select("sample_id").distinct(), "sample_id", {"train": 0.7, "val": 0.2, "test": 0.1}, 7)
 
 
+@q("ds_split_counts", f"""WITH b AS (SELECT event_id, {rng.uniform_sql(7, 'count', 'event_id')} AS u FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY floor(u * 4096), u, event_id) - 1 AS k FROM b)
+SELECT event_id, CASE WHEN k < 500 THEN 'train' WHEN k < 650 THEN 'val' ELSE 'test' END AS part FROM r WHERE k < 700""")
+def ds_split_counts(spark, d):
+    from ..sources.loader import split_counts
+
+    return split_counts(t(spark, d, "events").select("event_id"), "event_id", {"train": 500, "val": 150, "test": 50}, 7)
+
+
+@q("lbl_names_match", "SELECT signal_id, written_at, contains(lower(label), 'qam') OR contains(lower(label), 'psk') AS linear FROM signal_metadata")
+def lbl_names_match(spark, d):
+    return t(spark, d, "signal_metadata").select("signal_id", "written_at", scalar.names_any(F.col("label"), ("qam", "psk")).alias("linear"))
+
+
+@q("dist_several", f"SELECT event_id, round({' + '.join(rng.uniform_sql(7, f's.{k}', 'event_id') + ' * 5' for k in range(3))}, 6) AS total FROM events")
+def dist_several(spark, d):
+    x = t(spark, d, "events").select("event_id", rng.several(7, "s", 3, 5, keys=("event_id",)).alias("v"))
+    return x.select("event_id", F.round(F.get("v", F.lit(0)) + F.get("v", F.lit(1)) + F.get("v", F.lit(2)), 6).alias("total"))
+
+
 @q("ds_range_join", """WITH f AS (SELECT run_id, items_written, coalesce(sum(coalesce(items_written, 0)) OVER (ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_index FROM writer_runs),
  e AS (SELECT *, start_index + coalesce(items_written, 0) AS end_index FROM f) SELECT c.idx, e.run_id, c.idx - e.start_index AS at FROM (SELECT DISTINCT idx FROM capture_metadata) c JOIN e ON c.idx >= e.start_index AND c.idx < e.end_index""")
 def ds_range_join(spark, d):

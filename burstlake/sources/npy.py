@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import TaskContext
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..operators import malformed
 
@@ -157,8 +158,54 @@ class NpyReader(DataSourceReader):
             yield _rows(np.asarray(x[a : a + 256]), p.start + a, p.no, a)
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, files: list[str], rows: int):
+        self.files, self.rows = files, rows
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Each task writes payload files under a hidden name; the commit names them and writes info.json, an abort removes them."""
+
+    def __init__(self, root: str, overwrite: bool):
+        self.root = root
+        os.makedirs(root, exist_ok=True)
+        if overwrite:
+            for f in os.listdir(root):
+                if f.endswith(".npy") or f == "info.json":
+                    os.remove(os.path.join(root, f))
+
+    def write(self, batches) -> Written:
+        c = TaskContext.get()
+        files, rows = [], 0
+        for k, b in enumerate(x for x in batches if x.num_rows):
+            at = {n: j for j, n in enumerate(b.schema.names)}
+            x = np.array([np.asarray(i, np.float32) + 1j * np.asarray(q, np.float32) for i, q in zip(b.column(at["i"]).to_pylist(), b.column(at["q"]).to_pylist())], np.complex64)
+            name = f"data_{c.partitionId():06d}_{k:04d}.npy"
+            with open(os.path.join(self.root, f".{name}.{c.taskAttemptId()}"), "wb") as f:
+                np.save(f, x)
+            files.append(f.name)
+            rows += len(x)
+        return Written(files, rows)
+
+    def commit(self, messages) -> None:
+        for m in messages:
+            for f in m.files if m else []:
+                os.rename(f, os.path.join(self.root, os.path.basename(f)[1:].rsplit(".", 1)[0]))
+        with open(os.path.join(self.root, "info.json"), "w") as f:
+            json.dump({"size": sum(m.rows for m in messages if m)}, f)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            for f in m.files if m else []:
+                if os.path.exists(f):
+                    os.remove(f)
+
+
 class NpyDataSource(DataSource):
-    """spark.read.format("npy_captures").load(root): one partition a file."""
+    """spark.read.format("npy_captures").load(root): one partition a file; df.write.format("npy_captures").save(root).
+
+    Written rows (i, q of one length) keep the order of their partitions; labels go through write_dataset.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -172,3 +219,6 @@ class NpyDataSource(DataSource):
         if not root or not os.path.isdir(root):
             raise ValueError(f"{root} is not a directory")
         return NpyReader(root)
+
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        return NpyWriter(self.options["path"], overwrite)

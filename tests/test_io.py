@@ -119,6 +119,10 @@ def test_npy(spark, tmp_path):
     spark.dataSource.register(npy.NpyDataSource)
     src = {r.idx: r for r in spark.read.format("npy_captures").load(root).collect()}
     assert src[4].q == got[4].q and len(src) == 6
+    out = str(tmp_path / "out")
+    spark.read.format("npy_captures").load(root).orderBy("idx").coalesce(1).write.format("npy_captures").mode("overwrite").save(out)
+    back = {r.idx: r for r in spark.read.format("npy_captures").load(out).collect()}
+    assert {k: (r.i, r.q) for k, r in back.items()} == {k: (r.i, r.q) for k, r in src.items()} and npy.read_info(out) == 6
     assert npy.read_dataset(spark, npy_dir(tmp_path / "short", info=4)).count() == 4  # info.json decides
     for k, (info, error) in enumerate(((None, FileNotFoundError), ("{", ValueError), ('{"size": -1}', ValueError), ('{"size": "x"}', ValueError), (7, IndexError))):
         with pytest.raises(error):
@@ -189,3 +193,23 @@ def test_windows_drop_late_rows(spark, tmp_path):
         tumbling(src, "ts", "value", "1 hour", (), "30 minutes").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).trigger(availableNow=True).start().awaitTermination()
     got = {r.start.hour: r.total for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got == {0: 1.0, 5: 2.0}
+
+
+def test_data_module(spark, tmp_path):
+    from burstlake.sources.loader import DataModule, batches, split_counts
+
+    c = changed(target_labels=("class_index",), dataset_length=10)
+    m = DataModule(spark, str(tmp_path / "m"), c, (6, 3, 1), batch_size=4, transforms=("ChannelSwap",))
+    assert m.prepare() and m.prepare() is False
+    seen = list(m.train())
+    assert [len(b["sample_id"]) for b in seen] == [4, 2] and seen[0]["data"].shape == (4, 1024)
+    ids = [k for part in (m.train(1), m.val(), m.test()) for b in part for k in b["sample_id"]]
+    assert sorted(ids) == list(range(10)) and [k for b in m.train() for k in b["sample_id"]] != [k for b in m.train(1) for k in b["sample_id"]]
+    for bad in ((0.5, 0.2, 0.1), (9, 9, 9), (0.5, 0.5)):
+        with pytest.raises(ValueError):
+            DataModule(spark, "x", c, bad)
+    ragged = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0, 3.0], None)], "k bigint, v array<double>, s string").coalesce(1)
+    (b,) = batches(ragged.orderBy("k"), 5)
+    assert b["v"].tolist() == [[1, 0], [2, 3]] and b["s"] == ["a", None]
+    n = split_counts(spark.range(3000), "id", {"a": 1000, "b": 500}).groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in n} == {"a": 1000, "b": 500}
