@@ -152,10 +152,12 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, key: str
     """
     wanted = targets.select(F.lower(F.trim("source")).alias("source")).where("source is not null").distinct()
     named = docs.select(F.col(key).alias("_id"), F.lower(F.trim("source")).alias("source"), F.col(text).alias("_text"))
-    named = named.join(F.broadcast(wanted), "source", "left_semi") if _small(wanted) else named.join(wanted, "source", "left_semi")
+    # the targets are broadcast only while they are few
+    sized = F.broadcast if _small(wanted) else lambda x: x
+    named = named.join(sized(wanted), "source", "left_semi")
     tokens = cut(count_tokens(named, "_text", "tokens", vocabulary).where("tokens > 0"))
     p = cut(plan(tokens, targets, budget))
-    t = tokens.join(F.broadcast(p.select("source", "repeat_rate", "available_docs")), "source")
+    t = tokens.join(sized(p.select("source", "repeat_rate", "available_docs")), "source")
     t = t.withColumn("_base", F.floor("repeat_rate").cast("int")).withColumn("_pi", F.col("repeat_rate") - F.floor("repeat_rate"))
     t = t.withColumn("_h", F.xxhash64(F.lit(seed), "_id")).withColumn("_block", F.pmod(F.shiftright("_h", 7), F.ceil(F.col("available_docs") / block)))
     open_ = (F.col("_pi") > 1e-9) & (F.col("_pi") < 1 - 1e-9)

@@ -14,10 +14,13 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 SECTION = 64
 MIN_SECTION = 8
+#: Groups that a task holds at once before it passes its partial sketches on.
+MOST_HELD = 20_000
 HEAD = np.dtype([("section", "<f8"), ("sections", "<i4"), ("state", "<i8"), ("n", "<i4")])
 
 
@@ -174,6 +177,13 @@ def sketch(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -
             for key, a, b in zip(names, edge[:-1], edge[1:]):
                 held.setdefault(tuple(key), Sketch(section)).add(v[by[a:b]])
 
+        def flush():
+            part, done = TaskContext.get().partitionId() % 64, list(held.items())
+            held.clear()
+            for a in range(0, len(done), 2_000):
+                piece = done[a : a + 2_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in piece], pa.string()) for i in range(len(cols))), pa.array([part] * len(piece), pa.int32()), pa.array([s.to_bytes() for _, s in piece], pa.binary())], names=[*cols, "_part", "_s"])
+
         for b in batches:
             if b.num_rows:
                 waiting.append(b)
@@ -181,15 +191,11 @@ def sketch(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -
             if rows >= 200_000:
                 absorb()
                 waiting, rows = [], 0
+                if len(held) > MOST_HELD:
+                    yield from flush()
         if rows:
             absorb()
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() % 64
-        done = list(held.items())
-        for a in range(0, len(done), 2_000):
-            piece = done[a : a + 2_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in piece], pa.string()) for i in range(len(cols))), pa.array([part] * len(piece), pa.int32()), pa.array([s.to_bytes() for _, s in piece], pa.binary())], names=[*cols, "_part", "_s"])
+        yield from flush()
 
     parts = src.mapInArrow(local, shape)
     step = merge_sketches(parts, [*cols, "_part"], "_s").drop("n")
