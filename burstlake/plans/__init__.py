@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import generated, records, signals
+from . import dsp, generated, records, signals
 
-MODULES = (records, signals, generated)
+MODULES = (records, signals, generated, dsp)
 
 
 def core_queries() -> dict:
