@@ -40,11 +40,14 @@ def _peel(up: DataFrame) -> DataFrame:
     steps; both ends of every tree shrink, so when nothing is dropped only loops are left.
     """
     t = table(up)
-    n = t.count()
+    n, rounds = t.count(), 0
     while n:
         alive = t.select(F.col("f").alias("v")).distinct()
         kept = t.join(alive, "v", "left_semi")
-        t2 = table(salted_join(kept, t.select(F.col("v").alias("f"), F.col("f").alias("g")), ["f"], spread="v").select("v", F.col("g").alias("f")))
+        up2 = t.select(F.col("v").alias("f"), F.col("f").alias("g"))
+        # a node left after k rounds has 2^k layers below it, so a target can be hot only in the first rounds
+        both = salted_join(kept, up2, ["f"], spread="v") if rounds < 6 else kept.join(up2, "f")
+        t2, rounds = table(both.select("v", F.col("g").alias("f"))), rounds + 1
         m = t2.count()
         if m == n:
             drop(t)
