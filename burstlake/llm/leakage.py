@@ -210,17 +210,51 @@ def passages(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, i
         eq[:, j:j1] = False
 
 
-def dense_words(doc: np.ndarray, item: np.ndarray) -> int:
-    """Words of the item inside some stretch of five on one diagonal of which four are equal: at least as many as any passages hold, but for passages with more changes than that."""
+def dense_stretches(doc: np.ndarray, item: np.ndarray, slice_: int = 16_384) -> tuple[int, np.ndarray]:
+    """(words of the item, places in the document) inside some stretch of five on one diagonal of which four words are equal.
+
+    Passages hold no more words than that, but for passages with more changes.  The document is gone
+    through in slices, so a text of any length takes the same memory.
+    """
     if min(len(doc), len(item)) < 5:
-        return len(item)
-    eq = (item[:, None] == doc[None, :]).view(np.uint8)
-    n, m = len(item) - 4, len(doc) - 4
-    near = eq[:n, :m] + eq[1 : n + 1, 1 : m + 1]
-    for k in (2, 3, 4):
-        near += eq[k : n + k, k : m + k]
-    rows = np.flatnonzero((near >= 4).any(axis=1))
-    return int(np.minimum(np.diff(rows, append=rows[-1] + 5), 5).sum()) if len(rows) else 0
+        return len(item), np.arange(len(doc))
+    n, seen, places = len(item) - 4, np.zeros(len(item) - 4, bool), []
+    for a in range(0, len(doc) - 4, slice_):
+        part = doc[a : a + slice_ + 4]
+        m = len(part) - 4
+        eq = (item[:, None] == part[None, :]).view(np.uint8)
+        near = eq[:n, :m] + eq[1 : n + 1, 1 : m + 1]
+        for k in (2, 3, 4):
+            near += eq[k : n + k, k : m + k]
+        hit = near >= 4
+        seen |= hit.any(axis=1)
+        places.append(a + np.flatnonzero(hit.any(axis=0)))
+    rows = np.flatnonzero(seen)
+    return int(np.minimum(np.diff(rows, append=rows[-1] + 5), 5).sum()) if len(rows) else 0, np.concatenate(places)
+
+
+def around(doc: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """The document without what is farther than ``reach`` from the places; each gap becomes a run that no passage can cross."""
+    keep = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(keep, np.maximum(places - reach, 0), 1)
+    np.add.at(keep, np.minimum(places + reach, len(doc)), -1)
+    inside = np.cumsum(keep[:-1]) > 0
+    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    wall = np.zeros(reach, doc.dtype)
+    return np.concatenate([x for a, b in zip(edge[::2], edge[1::2]) for x in (doc[a:b], wall)]) if len(edge) else doc[:0]
+
+
+def all_passages(doc: np.ndarray, item: np.ndarray, least: int, slice_: int = 50_000) -> list[tuple[int, int, int, int, int]]:
+    """passages() of a document of any length: in slices that overlap by twice what a passage can span.
+
+    A passage in an overlap is found twice; as both cover the same words of the item, a chain takes one.
+    """
+    if len(doc) <= slice_:
+        return passages(doc, item, least)
+    out = []
+    for a in range(0, len(doc), slice_):
+        out += [(s, i, j, a + x, a + y) for s, i, j, x, y in passages(doc[a : a + slice_ + 4 * len(item)], item, least)]
+    return out
 
 
 def in_order(parts: list[tuple[int, int, int, int, int]]) -> int:
@@ -272,9 +306,10 @@ class Finder:
         for k in key[first][covered >= self.seed_share * self.need[key[first] % len(t.ids)]].tolist():
             d, i = divmod(k, len(t.ids))
             size, w = int(self.need[i]), h[start[d] : start[d] + n[d]]
-            if dense_words(w, t.words[i]) < self.share * size:
+            dense, places = dense_stretches(w, t.words[i])
+            if dense < self.share * size:
                 continue
-            got = in_order(passages(w, t.words[i], self.least))
+            got = in_order(all_passages(around(w, places, 2 * size), t.words[i], self.least))
             if got >= self.share * size:
                 out.append((d, i, got / size))
         return out

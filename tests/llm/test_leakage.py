@@ -118,3 +118,9 @@ def test_long_text(words):
     f = L.Finder(L.Items.build([1], [" ".join(item)], words), words, 0.5, 6, 0.2)
     big = " ".join(text(r, 60_000)) + " " + " ".join(item)
     assert [x[:2] for x in f.find([big])] == [(0, 0)]
+    # the passage across the edge of a slice, and slices against the whole
+    doc, it = f.words.split([" ".join(text(r, 300) + item[:30] + text(r, 90) + item[30:] + text(r, 60))])[0], f.items.words[0]
+    for k in (100, 311, 350, 500):
+        assert L.in_order(L.all_passages(doc, it, 6, k)) == L.in_order(L.passages(doc, it, 6)) == 50
+    dense, places = L.dense_stretches(doc, it)
+    assert L.dense_stretches(doc, it, 37)[0] == dense and L.in_order(L.passages(L.around(doc, places, 100), it, 6)) == 50
