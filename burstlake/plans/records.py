@@ -57,7 +57,7 @@ WITH l AS (SELECT line_id, coalesce(raw_line, '') AS s FROM raw_metadata_lines),
              ELSE 'invalid_value' END AS reason FROM w)
 """
 PERIODS = """
-WITH r AS (SELECT sample_id, start_in_samples AS s, start_in_samples + duration_in_samples AS t FROM signal_metadata
+WITH r AS (SELECT DISTINCT sample_id, start_in_samples AS s, start_in_samples + duration_in_samples AS t FROM signal_metadata
            WHERE start_in_samples IS NOT NULL AND duration_in_samples > 0),
      m AS (SELECT *, max(t) OVER (PARTITION BY sample_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
      i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS island FROM m),
