@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -116,7 +117,7 @@ WHERE abs(l.x - CASE l.pct WHEN 50 THEN r.ref_p50 ELSE r.ref_p95 END) > 0.25 * r
 
 
 def _look_sql() -> str:
-    """Pairs by translate() and nfc_normalize(): plainer than the operator, without accents on look-alikes."""
+    """Pairs by nfc_normalize() and translate(), which takes accented look-alikes of the Greek and Cyrillic blocks one by one."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     plain = "".join(map(chr, range(0x21, 0x7F)))
     single = {k: v for k, v in visual.LOOK_ALIKE.items() if len(v) == 1}
@@ -125,7 +126,7 @@ def _look_sql() -> str:
     b = plain + "".join(single.values()) + " " * len(blanks) + "μΩK"
     q = lambda s: s.replace("'", "''")
     return f"""
-WITH f AS (SELECT doc_id, text, nfc_normalize(translate(regexp_replace(text, '\\p{{Cf}}', '', 'g'), '{q(a)}', '{q(b)}')) AS look
+WITH f AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize(regexp_replace(text, '\\p{{Cf}}', '', 'g')), '{q(a)}', '{q(b)}')) AS look
            FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id WHERE a.text <> b.text
 """
