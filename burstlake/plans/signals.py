@@ -252,6 +252,22 @@ def lbl_pad(spark, d):
     return x.select("batch", "sample_id", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0.0), lambda a, b: a + b).alias("total"))
 
 
+COLLECT_ALL = BURSTS + ", c AS (SELECT sample_id, list(snr_db ORDER BY comp_no) AS v FROM bursts GROUP BY sample_id)"
+
+
+@q("lbl_collect_all", f"WITH {COLLECT_ALL} SELECT sample_id, len(v)::INTEGER AS n, array_to_string(list_transform(v, lambda x: x::INTEGER::VARCHAR), ',') AS labels FROM c")
+def lbl_collect_all(spark, d):
+    x = labels.collected(bursts(spark, d), ["sample_id"], "comp_no", F.col("snr_db"))
+    return x.select("sample_id", F.size("labels").alias("n"), F.array_join(F.transform("labels", lambda v: v.cast("int").cast("string")), ",").alias("labels"))
+
+
+@q("lbl_pad_all", f"WITH {COLLECT_ALL}, m AS (SELECT sample_id, sample_id // 8 AS batch, v, max(len(v)) OVER (PARTITION BY sample_id // 8) AS most FROM c) SELECT batch::BIGINT AS batch, sample_id, most::INTEGER AS n, list_sum(v) AS total FROM m")
+def lbl_pad_all(spark, d):
+    x = labels.collected(bursts(spark, d), ["sample_id"], "comp_no", F.col("snr_db"))
+    x = labels.padded_batches(x, F.floor(F.col("sample_id") / 8))
+    return x.select("batch", "sample_id", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
 @q("lbl_reads_no_payload", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def lbl_reads_no_payload(spark, d):
     return t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -379,3 +379,22 @@ def test_bad_configs():
     names, p = config(sampling="per_family").generators()
     fam = modulators.families()
     assert abs(sum(x for n, x in zip(names, p) if fam[n] == "ofdm") - 0.1) < 1e-12 and math.isclose(p.sum(), 1)
+
+
+def test_all_labels_of_hot_and_ragged_samples(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    users = [1] * 400 + [k for k in range(2, 40) for _ in range(k % 9)] + [40]  # one sample holds most of the rows
+    rows = [(k, u, "qpsk", float(k % 13)) for k, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("lbl_collect_all", "lbl_pad_all"):
+        df = e.queries()[name](spark, str(tmp_path))
+        cur = con.execute(e.oracle_sql()[name])
+        assert df.columns == [c[0] for c in cur.description]
+        assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
+    got = {r.sample_id: r.n for r in e.queries()["lbl_collect_all"](spark, str(tmp_path)).collect()}
+    assert sum(got.values()) == len(rows) and got[1] == 400
