@@ -174,40 +174,53 @@ class Items:
         return Items(ids, each, s[by], i[by], p[by], seen)
 
 
-def passages(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int, int, int]]:
-    """Local alignments (score, item from, item to, doc from, doc to) of at least ``least`` points, best first, apart from each other.
+def passages(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int, int, int, np.ndarray]]:
+    """Local alignments (equal words, item from, item to, doc from, doc to, path) of at least ``least`` points, best first.
 
     One point for an equal word, minus one for an inserted word, minus CHANGED for a changed or lost word
     of the item: a sentence that shares its pattern but not its content words with the item earns nothing.
+    A stretch of the item is found at every place that holds it: only the words of the item against the words
+    of the document that were taken together are out afterwards.  The path has, for each equal word, its place
+    in the item and in the document and the points so far.  A whole item ends the search.
     """
+    n = len(item)
     eq = item[:, None] == doc[None, :]
-    found = []
+    H = np.zeros((n + 1, len(doc) + 1), np.int32)
+    step = np.arange(len(doc) + 1, dtype=np.int32)
+    found, a, b = [], 0, len(doc)
+    top = np.zeros(len(doc) + 1, np.int32)
     while True:
-        H = np.zeros((len(item) + 1, len(doc) + 1), np.int32)
-        step = np.arange(len(doc) + 1, dtype=np.int32)
-        for i in range(1, len(item) + 1):
-            row = np.zeros(len(doc) + 1, np.int32)
-            row[1:] = np.where(eq[i - 1], H[i - 1, :-1] + 1, H[i - 1, :-1] - CHANGED)
-            np.maximum(row, H[i - 1] - CHANGED, out=row)
+        for i in range(1, n + 1):
+            row = np.zeros(b - a + 1, np.int32)
+            row[0] = H[i, a]
+            row[1:] = np.where(eq[i - 1, a:b], H[i - 1, a:b] + 1, H[i - 1, a:b] - CHANGED)
+            np.maximum(row[1:], H[i - 1, a + 1 : b + 1] - CHANGED, out=row[1:])
             np.maximum(row, 0, out=row)
-            H[i] = np.maximum.accumulate(row + step) - step
-        i, j = np.unravel_index(int(H.argmax()), H.shape)
-        score = int(H[i, j])
+            H[i, a : b + 1] = np.maximum.accumulate(row + step[: b - a + 1]) - step[: b - a + 1]
+        top[a : b + 1] = H[:, a : b + 1].max(axis=0)
+        score = int(top.max())
         if score < least:
             return found
-        i1, j1, same = i, j, 0
+        at = np.flatnonzero(top == score)
+        i, j = np.unravel_index(int(H[:, at].argmax()), (n + 1, len(at)))
+        i, j = int(i), int(at[j])
+        i1, j1, path = i, j, []
         while H[i, j] > 0:
             hit = eq[i - 1, j - 1]
             if H[i, j] == H[i - 1, j - 1] + (1 if hit else -CHANGED):
-                same += int(hit)
+                if hit:
+                    path.append((i - 1, j - 1, int(H[i, j])))
                 i, j = i - 1, j - 1
             elif H[i, j] == H[i - 1, j] - CHANGED:
                 i -= 1
             else:
                 j -= 1
-        found.append((same, i, i1, j, j1))
-        eq[i:i1, :] = False
-        eq[:, j:j1] = False
+        found.append((len(path), i, i1, j, j1, np.array(path[::-1], np.int64)))
+        if len(path) == n:
+            return found
+        eq[i:i1, j:j1] = False
+        # a passage spans less than twice the item, so nothing changes beyond
+        a, b = j, min(len(doc), j1 + 2 * n)
 
 
 def dense_stretches(doc: np.ndarray, item: np.ndarray, slice_: int = 16_384) -> tuple[int, np.ndarray]:
@@ -244,7 +257,7 @@ def around(doc: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
     return np.concatenate([x for a, b in zip(edge[::2], edge[1::2]) for x in (doc[a:b], wall)]) if len(edge) else doc[:0]
 
 
-def all_passages(doc: np.ndarray, item: np.ndarray, least: int, slice_: int = 50_000) -> list[tuple[int, int, int, int, int]]:
+def all_passages(doc: np.ndarray, item: np.ndarray, least: int, slice_: int = 50_000) -> list[tuple[int, int, int, int, int, np.ndarray]]:
     """passages() of a document of any length: in slices that overlap by twice what a passage can span.
 
     A passage in an overlap is found twice; as both cover the same words of the item, a chain takes one.
@@ -253,12 +266,12 @@ def all_passages(doc: np.ndarray, item: np.ndarray, least: int, slice_: int = 50
         return passages(doc, item, least)
     out = []
     for a in range(0, len(doc), slice_):
-        out += [(s, i, j, a + x, a + y) for s, i, j, x, y in passages(doc[a : a + slice_ + 4 * len(item)], item, least)]
+        out += [(s, i, j, a + x, a + y, path + (0, a, 0)) for s, i, j, x, y, path in passages(doc[a : a + slice_ + 4 * len(item)], item, least)]
     return out
 
 
-def in_order(parts: list[tuple[int, int, int, int, int]]) -> int:
-    """Most equal words in a chain of passages that follow each other in the item and in the document."""
+def in_order(parts: list[tuple]) -> int:
+    """Most equal words in a chain of whole passages that follow each other in the item and in the document."""
     parts = sorted(parts, key=lambda p: p[3])
     best = []
     for k, p in enumerate(parts):
@@ -266,6 +279,36 @@ def in_order(parts: list[tuple[int, int, int, int, int]]) -> int:
     return max(best, default=0)
 
 
+def chained(parts: list[tuple], size: int, least: int) -> int:
+    """Most equal words in a chain as in in_order(), in which passages may be cut at either end to pieces of at least ``least`` points.
+
+    Passages that overlap in the item are needed in part only: those of words 0 to 35 and 25 to 60 hold all 60.
+    """
+    if not parts:
+        return 0
+    most = len(np.unique(np.concatenate([p[5][:, 0] for p in parts])))
+    if max(p[0] for p in parts) == most or len(parts) < 64 and in_order(parts) == most:
+        return most
+    of = np.repeat(np.arange(len(parts)), [len(p[5]) for p in parts])
+    nth = np.concatenate([np.arange(len(p[5])) for p in parts])
+    item, doc = (np.concatenate([p[5][:, c] for p in parts]) for c in (0, 1))
+    before = [np.zeros(len(p[5]), np.int64) for p in parts]  # the best chain before a piece that begins with this word
+    ended, late = np.zeros(size + 1, np.int64), []  # the best chain that has ended before this word of the item
+    order, now = np.argsort(doc, kind="stable").tolist(), -1
+    for x in order:
+        if doc[x] > now:
+            for i, v in late:
+                np.maximum(ended[i + 1 :], v, out=ended[i + 1 :])
+            late, now = [], doc[x]
+        k, z = of[x], nth[x]
+        before[k][z] = ended[item[x]]
+        points = parts[k][5][: z + 1, 2]
+        begin = np.flatnonzero(points[z] - points + 1 >= least)
+        if len(begin):
+            late.append((item[x], int((before[k][begin] + z - begin).max()) + 1))
+    return max([int(ended[-1]), *(v for _, v in late)])
+
+
 class Finder:
     def __init__(self, items: Items, words: Words, share: float, least: int, seed_share: float):
         self.items, self.words, self.share, self.least, self.seed_share = items, words, share, least, seed_share
@@ -309,7 +352,7 @@ class Finder:
             dense, places = dense_stretches(w, t.words[i])
             if dense < self.share * size:
                 continue
-            got = in_order(all_passages(around(w, places, 2 * size), t.words[i], self.least))
+            got = chained(all_passages(around(w, places, 2 * size), t.words[i], self.least), size, self.least)
             if got >= self.share * size:
                 out.append((d, i, got / size))
         return out

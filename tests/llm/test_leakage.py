@@ -124,3 +124,22 @@ def test_long_text(words):
         assert L.in_order(L.all_passages(doc, it, 6, k)) == L.in_order(L.passages(doc, it, 6)) == 50
     dense, places = L.dense_stretches(doc, it)
     assert L.dense_stretches(doc, it, 37)[0] == dense and L.in_order(L.passages(L.around(doc, places, 100), it, 6)) == 50
+
+
+def test_stretches_held_more_than_once(words):
+    r = random.Random(12)
+    item = text(r, 60)
+    f = L.Finder(L.Items.build([1], [" ".join(item)], words), words, 0.5, 6, 0.2)
+    gap = lambda k: text(random.Random(k), 300)
+    doc = item[40:] + gap(1) + item[:20] + gap(2) + item[40:]
+    share = 40 / 60
+    assert f.find([" ".join(doc)]) == [(0, 0, share)]  # the early copy is no use
+    far = text(random.Random(3), 60_000)
+    assert f.find([" ".join(item[40:] + far + item[:20] + far + item[40:])]) == [(0, 0, share)]
+    assert f.find([" ".join(item[:35] + gap(1) + item[25:])]) == [(0, 0, 1.0)]  # copies that overlap in the item
+    assert f.find([" ".join(item[25:] + gap(1) + item[:35])]) == [(0, 0, 35 / 60)]
+    copies = [x for k in range(40) for x in (*item[:19], *gap(100 + k)[:70])]
+    assert f.find([" ".join(copies + item[20:40])]) == [(0, 0, 39 / 60)]
+    # in slices as in one
+    doc, it = words.split([" ".join(doc + item[10:30])])[0], f.items.words[0]
+    assert {L.chained(L.all_passages(doc, it, 6, k), 60, 6) for k in (100, 250, 333, 50_000)} == {40}
