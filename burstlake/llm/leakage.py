@@ -24,6 +24,8 @@ from .visual import Former, former, tables
 # Fixed masks: 1 takes the word, 0 ignores it.
 MASKS = ("110111", "111011", "1110111", "1101011")
 WINDOW = 6
+# For items with a floor below the usual: any passage of two points or more has two equal words in a row, one of one point has a word.
+SHORT = ("11", "1")
 CHANGED = 3
 ACCENTS = "\"'`^~=."
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -144,6 +146,11 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def floor(size: int, share: float, least: int) -> int:
+    """The points from which a passage of an item of this many words counts: ``least``, or the share of the item where that is less."""
+    return min(least, max(1, int(np.ceil(share * size - 1e-9))))
+
+
 @dataclass
 class Items:
     """A block of held-out items: their words and the sorted seed hashes with item and position."""
@@ -154,14 +161,18 @@ class Items:
     item: np.ndarray
     pos: np.ndarray
     filter: np.ndarray
+    short: bool  # some items are found by the masks in SHORT
 
     @staticmethod
-    def build(ids: list, texts: list[str], words: Words, bits: int = 24) -> Items:
+    def build(ids: list, texts: list[str], words: Words, bits: int = 24, share: float = 0.5, least: int = 6) -> Items:
         h, n = words.split(texts)
         each = np.split(h, np.cumsum(n)[:-1]) if len(n) else []
         seed, item, pos = [], [], []
+        floors = [floor(len(w), share, least) for w in each]
         for i, w in enumerate(each):
-            for m, mask in enumerate(MASKS):
+            for m, mask in enumerate(MASKS + SHORT):
+                if m not in ((4,) if 1 < floors[i] < least else (5,) if floors[i] < least else range(len(MASKS))):
+                    continue
                 s = seeds(w, mask, m)
                 seed.append(s)
                 item.append(np.full(len(s), i, np.int32))
@@ -171,7 +182,7 @@ class Items:
         by = np.argsort(s, kind="stable")
         seen = np.zeros(1 << bits, bool)
         seen[(s >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return Items(ids, each, s[by], i[by], p[by], seen)
+        return Items(ids, each, s[by], i[by], p[by], seen, any(f < least and len(w) > 0 for f, w in zip(floors, each)))
 
 
 def passages(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int, int, int, np.ndarray]]:
@@ -320,9 +331,9 @@ class Finder:
         h, n = self.words.split(texts)
         start = np.cumsum(n) - n
         of = np.repeat(np.arange(len(n)), n)
-        doc, item, at = [], [], []
+        doc, item, at, few = [], [], [], []
         t = self.items
-        for m, mask in enumerate(MASKS):
+        for m, mask in enumerate(MASKS + SHORT if t.short else MASKS):
             s = seeds(h, mask, m)
             p = np.flatnonzero(t.filter[(s >> self.bits).astype(np.int64)])
             p = p[of[p] == of[p + len(mask) - 1]]
@@ -331,11 +342,15 @@ class Finder:
             p, lo, k = p[k > 0], lo[k > 0], k[k > 0]
             if len(p):
                 q = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                if m >= len(MASKS):
+                    few.append((np.repeat(of[p], k).astype(np.int64) * len(t.ids) + t.item[q], np.repeat(p, k)))
+                    continue
                 doc.append(np.repeat(of[p], k))
                 item.append(t.item[q])
                 at.append(t.pos[q])
+        out = self._short(h, start, n, few) if few else []
         if not doc:
-            return []
+            return out
         doc, item, at = (np.concatenate(x) for x in (doc, item, at))
         key = doc.astype(np.int64) * len(t.ids) + item
         wide = int(self.need.max()) + 1
@@ -345,7 +360,6 @@ class Finder:
         reach = np.diff(at, append=0)
         reach[np.append(first[1:] - 1, len(key) - 1)] = WINDOW
         covered = np.add.reduceat(np.minimum(reach, WINDOW), first)
-        out = []
         for k in key[first][covered >= self.seed_share * self.need[key[first] % len(t.ids)]].tolist():
             d, i = divmod(k, len(t.ids))
             size, w = int(self.need[i]), h[start[d] : start[d] + n[d]]
@@ -358,11 +372,29 @@ class Finder:
         return out
 
 
+    def _short(self, h: np.ndarray, start: np.ndarray, n: np.ndarray, few: list) -> list[tuple[int, int, float]]:
+        """find() of items with a floor of their own: every pair with a hit is aligned around its hits."""
+        key, at = (np.concatenate(x) for x in zip(*few))
+        by = np.argsort(key, kind="stable")
+        key, at, out = key[by], at[by], []
+        for k, places in zip(key[(edge := np.flatnonzero(np.diff(key, prepend=-1)))].tolist(), np.split(at, edge[1:])):
+            d, i = divmod(k, len(self.items.ids))
+            size, w = int(self.need[i]), h[start[d] : start[d] + n[d]]
+            least = floor(size, self.share, self.least)
+            got = chained(all_passages(around(w, np.unique(places - start[d]), 2 * size), self.items.words[i], least), size, least)
+            if got >= self.share * size:
+                out.append((d, i, got / size))
+        return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", share: float = 0.5, least: int = 6, seed_share: float = 0.2, block_items: int = 20_000, chars: int = 1_000_000) -> DataFrame:
     """(doc_key, item_key, share_found): documents that hold at least ``share`` of an item's words as passages in its order.
 
     A passage scores at least ``least`` (equal words less inserted ones and three times the changed or lost ones), so shared
     phrases and scattered words add nothing.  Pairs are looked at when seed hits cover ``seed_share`` of the item.
+    Of items too short for that (``share`` of their words is below ``least``) passages count from that share on, and every
+    document with two of their words in a row, or one where one is enough, is looked at; no length is excluded.
+    A run of letters in a script without blanks is one word: it is found whole only, not in part.
     Items are taken in blocks of ``block_items`` (a block with its seeds is about 100 MB at most for
     items of 100 words), each block against all documents.  Null or empty texts and items without a
     word give no row; repeated documents give their row each time; repeated items count as one each.
@@ -377,7 +409,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str
     for b in range(blocks):
         rows = q.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         words = Words(former(), fold_table())
-        block = spark.sparkContext.broadcast(Items.build([r[0] for r in rows], [r[1] for r in rows], words))
+        block = spark.sparkContext.broadcast(Items.build([r[0] for r in rows], [r[1] for r in rows], words, share=share, least=least))
         part = src.mapInArrow(_search(block, maps, fold, share, least, seed_share, chars), f"k {kinds[0]}, i {kinds[1]}, share_found double")
         result = part if result is None else result.unionByName(part)
     return result.select(F.col("k").alias(doc_key), F.col("i").alias(item_key), "share_found")

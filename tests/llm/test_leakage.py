@@ -143,3 +143,22 @@ def test_stretches_held_more_than_once(words):
     # in slices as in one
     doc, it = words.split([" ".join(doc + item[10:30])])[0], f.items.words[0]
     assert {L.chained(L.all_passages(doc, it, 6, k), 60, 6) for k in (100, 250, 333, 50_000)} == {40}
+
+
+def test_short_items(spark, words):
+    r = random.Random(21)
+    pool = r.sample(WORDS, 100)
+    items = {n: pool[n * (n - 1) // 2 : n * (n + 1) // 2] for n in range(1, 13)}  # of 1 to 12 words, none shared
+    fill = lambda k: [r.choice(("xa", "xe", "xi", "xo")) for _ in range(k)]
+    docs, want = [], set()
+    for n, w in items.items():
+        half, less = -(-n // 2), -(-n // 2) - 1
+        for k, (part, leaked) in enumerate((([*w], True), (w[:half], True), (w[n - half :], True), (w[:less], False))):
+            docs.append((10 * n + k, " ".join(fill(30) + part + fill(30))))
+            if leaked:
+                want.add((10 * n + k, n))
+    docs.append((900, " ".join(items[8][:2] + ["xa"] + items[8][2:6])))  # one inserted word: six equal, five points
+    want.add((900, 8))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, item_text string")
+    assert {(x.doc_id, x.item_id) for x in L.leaks(df, it).collect()} == want
