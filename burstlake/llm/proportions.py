@@ -3,8 +3,8 @@
 Method: min-cost flow on the cross-classified cell counts.  Arcs run from the source over the row
 margins (label class) and the cells to the column margins (modcod); cells carry floors and
 availability, slack arcs with a high cost expose what cannot be met.  The integer quotas are drawn
-randomly: every cell gets the whole part of its target, a controlled rounding routes the rest through
-the flow with random costs.  Rows of a cell are then drawn by a hash threshold, without gathering a cell.
+randomly: whole parts of the targets go first, a controlled rounding routes the fractions through the
+same flow with random costs.  Rows of a cell are then drawn by a hash threshold, without gathering a cell.
 """
 
 from __future__ import annotations
@@ -75,11 +75,12 @@ class Flow:
 def quotas(cells: list[tuple], size: int, seed: int = 7) -> list[dict]:
     """Integer quotas of cells (row, column, share, floor, available) for a sample of ``size`` rows.
 
-    The wanted count of a cell is the larger of its floor and share x size.  Its whole part is taken
-    where it is available.  The fractional parts flow: an arc of one unit a cell, cheaper at random the
-    larger the fraction, between the margins rounded up; so each quota is the wanted count rounded down
-    or up and the margins stay within one.  A cell that holds less than is wanted has a slack arc at a
-    high cost; what flows there is its shortfall.  The sample is smaller than ``size`` by the shortfalls
+    The wanted count of a cell is the larger of its floor and share x size.  All of it flows between the
+    margins rounded up: an arc for its whole part (rounded up where that is not available), and one of one
+    unit for its fraction, cheaper at random the larger the fraction and dearer than any whole part.  Behind
+    them lie an arc as wide as what is available and a slack arc at a high cost; what flows there is the
+    shortfall, and a cell is short where something does.  So each quota is the wanted count rounded down or
+    up, or all there is, and the margins stay within one.  The sample is smaller than ``size`` by the shortfalls
     and larger by what floors add; nothing is filled up from other cells, which would distort them.
     Returns row, column, wanted, available, quota, shortfall, is_short for each cell.
     """
@@ -87,24 +88,30 @@ def quotas(cells: list[tuple], size: int, seed: int = 7) -> list[dict]:
     rows = {r: i for i, r in enumerate(dict.fromkeys(c[0] for c in cells))}
     cols = {c: i for i, c in enumerate(dict.fromkeys(c[1] for c in cells))}
     want = [max(float(floor), share * size) for _, _, share, floor, _ in cells]
-    base = [min(int(av), math.floor(w + 1e-9)) for w, (*_, av) in zip(want, cells)]
-    s, t = 0, 1 + len(rows) + len(cols)
-    g = Flow(t + 1)
-    lack = [max(0, math.ceil(w - 1e-9) - int(c[4])) for w, c in zip(want, cells)]
-    part = [w - math.floor(w + 1e-9) if m == 0 else 0.0 for w, m in zip(want, lack)]
+    part = [w - math.floor(w + 1e-9) if math.ceil(w) <= int(c[4]) else 0.0 for w, c in zip(want, cells)]
     part = [x if x > 1e-9 else 0.0 for x in part]
-    for names, at, ends in ((rows, 0, lambda k: (s, 1 + k)), (cols, 1, lambda k: (1 + len(rows) + k, t))):
-        for name, k in names.items():
-            own = [(x, m) for x, m, c in zip(part, lack, cells) if c[at] == name]
-            g.arc(*ends(k), math.ceil(sum(x for x, _ in own) - 1e-9) + sum(m for _, m in own), 0.0)
+    whole = [math.floor(w + 1e-9) if math.ceil(w) <= int(c[4]) else math.ceil(w) for w, c in zip(want, cells)]
+    t = 1 + len(rows) + len(cols)
+    g = Flow(t + 1 + len(cells))
+    for names, at, ends in ((rows, 0, lambda k: (0, 1 + k)), (cols, 1, lambda k: (1 + len(rows) + k, t))):
+        sums = [[0, 0.0] for _ in names]
+        for x, m, c in zip(part, whole, cells):
+            sums[names[c[at]]][0] += m
+            sums[names[c[at]]][1] += x
+        for k, (m, x) in enumerate(sums):
+            g.arc(*ends(k), m + math.ceil(x - 1e-9), 0.0)
+    slack = 10_000.0
     arcs = []
-    for (r, c, *_), x, m in zip(cells, part, lack):
-        a, z = 1 + rows[r], 1 + len(rows) + cols[c]
-        arcs.append((g.arc(a, z, int(x > 0), 1 - rng.random() ** (1 / x) if x else 0.0), g.arc(a, z, m, 10_000.0)))
-    g.run(s, t, sum(lack) + round(sum(part)))
+    for n, ((r, c, *_, av), x, m) in enumerate(zip(cells, part, whole)):
+        a, v, z = 1 + rows[r], t + 1 + n, 1 + len(rows) + cols[c]
+        g.arc(a, v, m, 0.0)
+        if x:
+            g.arc(a, v, 1, 2 * slack + len(cells) + 1 - rng.random() ** (1 / x))
+        arcs.append((g.arc(v, z, int(av), 0.0), g.arc(v, z, m, slack)))
+    g.run(0, t, sum(whole) + round(sum(part)))
     out = []
-    for (r, c, *_, av), w, b, (e, f) in zip(cells, want, base, arcs):
-        out.append({"row": r, "column": c, "wanted": w, "available": int(av), "quota": b + g.cap[e ^ 1], "shortfall": g.cap[f ^ 1], "is_short": int(av) < w})
+    for (r, c, *_, av), w, (e, f) in zip(cells, want, arcs):
+        out.append({"row": r, "column": c, "wanted": w, "available": int(av), "quota": g.cap[e ^ 1], "shortfall": g.cap[f ^ 1], "is_short": g.cap[f ^ 1] > 0})
     return out
 
 

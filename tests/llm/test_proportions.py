@@ -72,3 +72,19 @@ def test_empty(spark):
     assert size == 0 and not cells.where("is_short").count()
     assert P.plan(rows(spark), t.limit(0))[1].count() == 0
     assert P.plan(rows(spark).withColumn("label", F.lit(None).cast("string")), t)[1].where("is_short").count() == 1
+
+
+def test_shortfalls_are_what_flows_over_the_slack_arcs():
+    # the fractions beside a short cell do not take its slack: with 4 x 0.5 in its row, 2 are rounded up and 3 are short
+    cells = [("a", 0, 0.5, 0, 2)] + [("a", k, 0.05, 0, 99) for k in range(1, 5)]
+    for seed in range(20):
+        q = P.quotas(cells, 10, seed)
+        assert q[0]["quota"] == 2 and q[0]["shortfall"] == 3 and q[0]["is_short"]
+        assert sum(x["quota"] for x in q[1:]) == 2 and not any(x["is_short"] or x["shortfall"] for x in q[1:])
+    r = random.Random(8)
+    for seed in range(30):
+        cells = [(a, b, r.random() / 20, r.choice([0, 0, 12]), r.randint(0, 60)) for a in range(6) for b in range(5)]
+        for c, x in zip(cells, P.quotas(cells, 731, seed)):
+            want = max(c[3], c[2] * 731)
+            assert x["shortfall"] == max(0, -(-want // 1) - c[4]) and x["is_short"] == (c[4] < want)
+            assert x["quota"] == c[4] if x["is_short"] else x["quota"] in (int(want), int(want) + 1)
