@@ -37,8 +37,22 @@ LOOK_ALIKE = {
     # hyphens of one length
     "‐": "-", "‑": "-",
 }
-# Compatibility characters that are drawn exactly as their parts.
-DRAWN_AS_PARTS = "µﬀﬁﬂﬃﬄ․…Ⅰ"
+# Further such letters, apart from the table above because the comparison SQL is built from that one.
+# No two letters of a script become the same but palochka and the Cyrillic I, which are drawn alike; so texts in a script stay apart.
+RARE_ALIKE = {
+    # Armenian
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g", "յ": "j", "Օ": "O", "Ս": "U",
+    # Cyrillic palochka, straight u, izhitsa, sje
+    "Ӏ": "I", "ӏ": "l", "Ү": "Y", "Ѵ": "V", "ѵ": "v", "Ԍ": "G",
+    # Greek lunate sigma, yot
+    "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+}
+# Compatibility characters that are drawn exactly as their parts; of the Roman numerals those of one letter.
+DRAWN_AS_PARTS = "µﬀﬁﬂﬃﬄ․…ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ"
 # Decomposition tags whose mapping does not change the look beyond the cell width or line breaking.
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>")
 JAMO = re.compile("[\u1100-\u11ff]")
@@ -53,6 +67,8 @@ def _parts(ch: str) -> str:
         return " "
     if ch in LOOK_ALIKE:
         return LOOK_ALIKE[ch]
+    if ch in RARE_ALIKE:
+        return RARE_ALIKE[ch]
     fields = unicodedata.decomposition(ch).split()
     if fields and (fields[0][0] != "<" or fields[0] in SAME_LOOK_TAGS or ch in DRAWN_AS_PARTS):
         codes = fields[1:] if fields[0][0] == "<" else fields

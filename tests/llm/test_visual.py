@@ -83,3 +83,15 @@ def test_hot_class_is_salted(spark):
     assert got.count() == big.join(small, "k").count() and got.where("v <> 2 * k").count() == 0
     left = salted_join(big.withColumn("k", F.when(F.col("k") > 0, F.col("k"))), small, ["k"], spread="id", how="left", floor=10)
     assert left.count() == 5000
+
+
+def test_rare_look_alikes():
+    f = V.form_text
+    assert f("ⅠⅤⅩⅬⅭⅮⅯ ⅰⅴⅹⅼⅽⅾⅿ") == "IVXLCDM ivxlcdm"
+    assert f("օսհ ՕՍ") == "ouh OU" and f("Ӏӏ") == "Il" and f("ᎠᎡᎢᎪ") == "DRTA" and f("ꓐꓑꓓꓔ") == "BPDT"
+    for a, b in (("Ӏ", "l"), ("Ӏ", "1"), ("ⅼ", "1"), ("ⅼ", "I"), ("Ꮞ", "4"), ("Օ", "0"), ("Ⅴ", "ⅴ")):
+        assert f(a) != f(b)
+    script = lambda c: unicodedata.name(c).split()[0]
+    both = V.LOOK_ALIKE | V.RARE_ALIKE
+    seen = [(script(c), x) for c, x in both.items() if c not in "‐‑Ӏ"]
+    assert len(both) == len(V.LOOK_ALIKE) + len(V.RARE_ALIKE) and len(seen) == len(set(seen))
