@@ -404,6 +404,17 @@ def ds_split_counts(spark, d):
     return split_counts(t(spark, d, "events").select("event_id"), "event_id", {"train": 500, "val": 150, "test": 50}, 7)
 
 
+@q("ds_split_counts_all", f"""WITH b AS (SELECT event_id, {rng.uniform_sql(7, 'count', 'event_id')} AS u FROM events), n AS (SELECT count(*) AS n FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY floor(u * 4096), u, event_id) - 1 AS k FROM b)
+SELECT event_id, CASE WHEN k < n * 5 // 7 THEN 'train' WHEN k < n * 5 // 7 + n * 3 // 14 THEN 'val' ELSE 'test' END AS part FROM r CROSS JOIN n""")
+def ds_split_counts_all(spark, d):
+    from ..sources.loader import split_counts
+
+    x = t(spark, d, "events").select("event_id")
+    n = x.count()
+    train, val = n * 5 // 7, n * 3 // 14  # as 500 and 150 of 700
+    return split_counts(x, "event_id", {"train": train, "val": val, "test": n - train - val}, 7)
+
+
 @q("lbl_names_match", "SELECT signal_id, written_at, contains(lower(label), 'qam') OR contains(lower(label), 'psk') AS linear FROM signal_metadata")
 def lbl_names_match(spark, d):
     return t(spark, d, "signal_metadata").select("signal_id", "written_at", scalar.names_any(F.col("label"), ("qam", "psk")).alias("linear"))

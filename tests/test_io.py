@@ -213,3 +213,17 @@ def test_data_module(spark, tmp_path):
     assert b["v"].tolist() == [[1, 0], [2, 3]] and b["s"] == ["a", None]
     n = split_counts(spark.range(3000), "id", {"a": 1000, "b": 500}).groupBy("part").count().collect()
     assert {r.part: r["count"] for r in n} == {"a": 1000, "b": 500}
+
+
+def test_split_by_counts_covers_the_table(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    spark.range(1999).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = sorted(map(tuple, e.queries()["ds_split_counts_all"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(e.oracle_sql()["ds_split_counts_all"]).fetchall()) and len({k for k, _ in got}) == 1999
+    n = [sum(p == x for _, p in got) for x in ("train", "val", "test")]
+    assert n == [1427, 428, 144]
