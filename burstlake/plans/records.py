@@ -35,13 +35,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path and number of descendants of every metadata group."""
-    t = tree.table(tree.hierarchy(_t(spark, d, "metadata_nodes")))
-    return tree.paths(t).join(t.select("metadata_id", "n_descendants"), "metadata_id")
+    return tree.paths(tree.hierarchy(_t(spark, d, "metadata_nodes")))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every group with each of its descendants."""
-    return tree.descendants(tree.table(tree.hierarchy(_t(spark, d, "metadata_nodes"))))
+    return tree.descendants(tree.hierarchy(_t(spark, d, "metadata_nodes")))
 
 
 LINES = r"""
@@ -83,5 +82,7 @@ SQL = {
     "p2_loaded": LINES + "SELECT line_id, v[1]::BIGINT AS index, v[2] AS label, v[3]::INTEGER AS modcod, v[4]::DOUBLE AS sample_rate FROM c WHERE reason IS NULL",
     "p3_found": PERIODS,
     "p5_found": NODES + "SELECT start AS metadata_id, root_metadata_id, node_depth, node_state FROM a",
+    "p5_paths": NODES + """, d AS (SELECT unnest(CASE WHEN enters > 0 THEN path[2:enters] ELSE path[2:] END) AS metadata_id FROM a), c AS (SELECT metadata_id, count(*) AS n FROM d GROUP BY metadata_id)
+SELECT start AS metadata_id, array_to_string(list_reverse(CASE WHEN enters > 0 THEN path[1:enters] ELSE path END), '/') AS path, coalesce(n, 0) AS n_descendants FROM a LEFT JOIN c ON c.metadata_id = a.start""",
     "p5_descendants": NODES + "SELECT unnest(CASE WHEN enters > 0 THEN path[2:enters] ELSE path[2:] END) AS metadata_id, start AS descendant FROM a",
 }

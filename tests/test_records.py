@@ -144,3 +144,13 @@ def test_chain_star_and_loop(spark):
     assert t["c149"].depth == 149 and t["c000"].n_descendants == 299
     assert [t[k].state for k in ("l1", "l2", "l3", "x", "self", "s001")] == ["cycle"] * 3 + ["below_cycle", "cycle", "tree"]
     assert t["x"].root_id == "l1" and t["self"].depth == 0
+
+
+@pytest.mark.parametrize("seed, n, base", [(5, 120, 150), (6, 60, 24)])
+def test_lists_and_loops_longer_than_one_task_takes(spark, seed, n, base):
+    r = random.Random(seed)
+    rows = make(r, n) + [(f"c{k:03}", f"c{k - 1:03}" if k else None) for k in range(90)] + [(f"o{k:02}", f"o{(k + 1) % 40:02}") for k in range(40)] + [(f"p{k}", f"o{k:02}") for k in range(9)]
+    want = climb(rows)
+    t = H.hierarchy(spark.createDataFrame(rows, "metadata_id string, parent_metadata_id string"), base=base)
+    assert {x.metadata_id: (x.root_id, x.depth, x.state) for x in t.collect()} == {k: v[:3] for k, v in want.items()}
+    assert {x.metadata_id: x.path for x in H.paths(t, held=64).collect()} == {k: "/".join(v[3]) for k, v in want.items()}
