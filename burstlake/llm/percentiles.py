@@ -16,6 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import cut
 
 SECTION = 64
 MIN_SECTION = 8
@@ -104,8 +107,11 @@ class Sketch:
                 self.levels[h + 1].items = np.concatenate([self.levels[h + 1].items, up])
             h += 1
 
-    def percentile(self, p: float) -> float | None:
-        """The smallest kept value whose estimated rank reaches p per cent of the values; exact ends, None when empty."""
+    def percentile(self, p: float, lower: bool = False) -> float | None:
+        """The smallest kept value whose estimated rank reaches p per cent of the values; exact ends, None when empty.
+
+        lower: the sketch holds the negatives of the values, so that it is their lower tail that is protected.
+        """
         if not self.n:
             return None
         v = np.concatenate([x.items for x in self.levels])
@@ -113,9 +119,10 @@ class Sketch:
         by = np.argsort(v, kind="stable")
         rank = np.cumsum(w[by])
         need = max(1, math.ceil(p / 100 * self.n))
-        if need >= self.n:
-            return self.hi
-        return float(v[by][min(int(np.searchsorted(rank, need)), len(v) - 1)])
+        if lower:
+            need = self.n - min(need, self.n) + 1
+        x = self.hi if need >= self.n else float(v[by][min(int(np.searchsorted(rank, need)), len(v) - 1)])
+        return -x if lower else x
 
     def to_bytes(self) -> bytes:
         head = np.array([(x.section, x.sections, x.state, len(x.items)) for x in self.levels], HEAD)
@@ -150,8 +157,8 @@ def sketch(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -
     """(keys..., n, sketch): one mergeable sketch of the finite values of every group.
 
     Every partition sketches its own rows first (pre-aggregation: what is shuffled is bounded by groups
-    x partitions x sketch size, so a group with a third of all rows is never gathered); partials meet in
-    two steps.  Null, NaN and infinite values are left out, null keys form a group, a group without a
+    x partitions x sketch size, so a group with a third of all rows is never gathered); partials of 64
+    partitions meet first.  Null, NaN and infinite values are left out, null keys form a group, a group without a
     finite value has no row, repeated rows count each time, an empty table gives no row.
     """
     cols = [f"_k{i}" for i in range(len(keys))]
@@ -178,7 +185,7 @@ def sketch(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -
                 held.setdefault(tuple(key), Sketch(section)).add(v[by[a:b]])
 
         def flush():
-            part, done = TaskContext.get().partitionId() % 64, list(held.items())
+            part, done = TaskContext.get().partitionId() // 64, list(held.items())
             held.clear()
             for a in range(0, len(done), 2_000):
                 piece = done[a : a + 2_000]
@@ -204,20 +211,45 @@ def sketch(df: DataFrame, keys: list[str], value: str, section: int = SECTION) -
 
 
 def merge_sketches(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys..., n, column): sketches of partitions, days or other parts, combined per key."""
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    """(keys..., n, column): sketches of partitions, days or other parts, combined per key.
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = merged(pdf[column])
-        out = pdf.iloc[:1][keys].copy()
-        out["n"], out[column] = s.n, [s.to_bytes()]
-        return out
+    The sketches of a key meet in one partition, sorted, and are merged as they come in one Arrow pass; 64 are held at most.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "n", column]
+    laid = df.select(*keys, column).repartition(*keys).sortWithinPartitions(*keys, column)
+    types = [f.type for f in to_arrow_schema(df.select(*keys).schema)]
 
-    return df.select(*keys, column).groupBy(*keys).applyInPandas(combine, f"{kinds}, n bigint, {column} binary")
+    def run(batches):
+        key, parts, done = None, [], []
 
+        def emit():
+            cols = [pa.array([k[j] for k, _ in done], t) for j, t in enumerate(types)]
+            b = pa.RecordBatch.from_arrays([*cols, pa.array([s.n for _, s in done], pa.int64()), pa.array([s.to_bytes() for _, s in done], pa.binary())], names=names)
+            done.clear()
+            return b
 
-def percentiles(sketches: DataFrame, pcts: list[float], column: str = "sketch") -> DataFrame:
-    """One row per sketch and percentile: pct (double) and value are added, the sketch is dropped."""
+        for b in batches:
+            for *k, s in zip(*(c.to_pylist() for c in b.columns)):
+                if parts and not all(x == y or (x != x and y != y) for x, y in zip(k, key)):
+                    done.append((key, merged(parts)))
+                    parts = []
+                    if len(done) >= 1_000:
+                        yield emit()
+                key = k
+                parts.append(s)
+                if len(parts) >= 64:
+                    parts = [merged(parts).to_bytes()]
+        if parts:
+            done.append((key, merged(parts)))
+        if done:
+            yield emit()
+
+    return laid.mapInArrow(run, f"{kinds}, n bigint, {column} binary")
+
+
+def percentiles(sketches: DataFrame, pcts: list[float], column: str = "sketch", lower: bool = False) -> DataFrame:
+    """One row per sketch and percentile: pct (double) and value are added, the sketch is dropped; lower as in Sketch.percentile()."""
     keys = [c for c in sketches.columns if c != column]
     at = sketches.columns.index(column)
     shape = ", ".join(f"`{c}` {sketches.schema[c].dataType.simpleString()}" for c in keys) + ", pct double, value double"
@@ -227,7 +259,7 @@ def percentiles(sketches: DataFrame, pcts: list[float], column: str = "sketch")
             s = [Sketch.from_bytes(x) for x in b.column(at).to_pylist()]
             pick = pa.array(np.repeat(np.arange(b.num_rows), len(pcts)))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.names.index(c)).take(pick) for c in keys), pa.array(np.tile(np.array(pcts, float), b.num_rows)), pa.array([x.percentile(p) for x in s for p in pcts], pa.float64())],
+                [*(b.column(b.schema.names.index(c)).take(pick) for c in keys), pa.array(np.tile(np.array(pcts, float), b.num_rows)), pa.array([x.percentile(p, lower) for x in s for p in pcts], pa.float64())],
                 names=[*keys, "pct", "value"],
             )
 
@@ -253,6 +285,19 @@ def signal_sketches(signals: DataFrame) -> DataFrame:
     return sketch(signal_values(signals), ["label_class", "capture_day", "field_name"], "value")
 
 
+def two_tailed(values: DataFrame, keys: list[str], combine: list[str], pcts: list[float], value: str = "value") -> DataFrame:
+    """percentiles() per keys, and per ``combine`` with the other keys null, each from the sketch that protects its own tail.
+
+    Percentiles below 50 come from sketches of the negated values; both sketches are made in one pass.
+    """
+    tails = F.explode(F.array(*[F.struct(F.lit(t).alias("_tail"), (F.col(value) * s).alias("_x")) for t, s in (("upper", 1), ("lower", -1))]))
+    parts = cut(sketch(values.select(*keys, tails.alias("_t")).select(*keys, "_t.*"), [*keys, "_tail"], "_x"))
+    whole = merge_sketches(parts, [*combine, "_tail"], "sketch").withColumns({k: F.lit(None).cast(values.schema[k].dataType) for k in keys if k not in combine})
+    both = parts.unionByName(whole)
+    read = lambda t, p: percentiles(both.where(F.col("_tail") == t).drop("_tail"), p, lower=t == "lower")
+    return read("upper", [p for p in pcts if p >= 50]).unionByName(read("lower", [p for p in pcts if p < 50]))
+
+
 def drifted(signals: DataFrame, reference: DataFrame, least: int = 40, tolerance: float = 0.25) -> DataFrame:
     """Percentiles 50 and 95 that differ from the reference by more than tolerance x ref_spread."""
     got = percentiles(signal_sketches(signals).where(F.col("n") >= least), [50.0, 95.0])

@@ -39,9 +39,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per label class and field for each day, and for days combined (capture_day null)."""
-    days = percentiles.signal_sketches(_t(spark, d, "signal_metadata"))
-    whole = percentiles.merge_sketches(days, ["label_class", "field_name"], "sketch").withColumn("capture_day", F.lit(None).cast("string"))
-    return percentiles.percentiles(days.unionByName(whole), [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0, 99.9])
+    values = percentiles.signal_values(_t(spark, d, "signal_metadata"))
+    return percentiles.two_tailed(values, ["label_class", "capture_day", "field_name"], ["label_class", "field_name"], [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0, 99.9])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -54,3 +54,19 @@ def test_signal_once(spark):
     df = spark.createDataFrame([(1, " Qpsk", t, t, 5.0, None), (1, "qpsk", t, t + dt.timedelta(hours=1), 6.0, 1.0), (2, None, None, t, 1.0, 2.0)], s)
     got = {(r.label_class, r.capture_day, r.field_name, r.value) for r in P.signal_values(df).collect()}
     assert got == {("qpsk", "2031-03-04", "bandwidth", 5.0), ("qpsk", "2031-03-04", "center_freq", None), (None, None, "bandwidth", 1.0), (None, None, "center_freq", 2.0)}
+
+
+def test_both_tails(spark):
+    import numpy as np
+
+    from burstlake.llm import percentiles as P
+
+    r = np.random.default_rng(5)
+    x = r.lognormal(0, 2, 60_000)
+    df = spark.createDataFrame([(f"d{k % 3}", "c", float(v)) for k, v in enumerate(x)], "day string, c string, value double").repartition(5)
+    got = {(g.day, g.pct): g.value for g in P.two_tailed(df, ["c", "day"], ["c"], [0.1, 1.0, 50.0, 99.0, 99.9]).collect()}
+    s = np.sort(x)
+    for p in (0.1, 1.0, 50.0, 99.0, 99.9):
+        rank = np.searchsorted(s, got[None, p]) / len(s) * 100
+        assert abs(rank - p) <= 0.05 * min(p, 100 - p) + 0.01, p
+    assert len(got) == 20
