@@ -4,7 +4,7 @@ Method: cube-method balanced sampling.  Every document of a source starts with t
 inclusion probability; the flight phase moves three probabilities at a time along the null-space of the
 constraints (documents, tokens) until one of them is 0 or 1, so both totals stay what they should be.
 Blocks of documents fly in parallel, the one or two documents that each block leaves open fly again
-together, and the last two of a source land on the document constraint alone.
+in fewer blocks until they fit into one, and the last two of a source land on the document constraint alone.
 """
 
 from __future__ import annotations
@@ -125,7 +125,6 @@ def plan(tokens: DataFrame, targets: DataFrame, budget: int | None = None) -> Da
     """One row per target source: what is there, what is wanted, how often each document is to be used.
 
     The budget is the tokens of all documents of the target sources, each once, unless given.
-    A source that holds too little even when every document is used max_repeats times is short.
     """
     have = tokens.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.count(F.lit(1)).alias("available_docs"))
     t = targets.select(F.lower(F.trim("source")).alias("source"), "target_weight", "max_repeats").join(have, "source", "left")
@@ -134,8 +133,7 @@ def plan(tokens: DataFrame, targets: DataFrame, budget: int | None = None) -> Da
     t = t.join(F.broadcast(t.agg(F.sum("available_tokens").alias("_all"))))
     t = t.withColumn("target_tokens", F.col("target_weight") * total).drop("_all")
     most = F.col("max_repeats") * F.col("available_tokens")
-    t = t.withColumn("is_short", most < F.col("target_tokens"))
-    rate = F.when(F.col("is_short"), F.col("max_repeats").cast("double")).when(F.col("available_tokens") > 0, F.least(F.col("target_tokens") / F.col("available_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    rate = F.when(most < F.col("target_tokens"), F.col("max_repeats").cast("double")).when(F.col("available_tokens") > 0, F.least(F.col("target_tokens") / F.col("available_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return t.withColumn("repeat_rate", rate)
 
 
@@ -148,7 +146,9 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, key: str
     a target source without documents is reported as short unless its target is 0.
 
     A source is split into blocks of about ``block`` documents by a hash of the key, so a source with a
-    third of all rows is flown by as many tasks as it needs; the second flight holds two documents a block.
+    third of all rows is flown by as many tasks as it needs; what the blocks leave open, two documents each,
+    flies again in blocks until one holds all that a source has left.  A source is short (is_short) when
+    every one of its documents came out with max_repeats copies and they still hold fewer tokens than its target.
     """
     wanted = targets.select(F.lower(F.trim("source")).alias("source")).where("source is not null").distinct()
     named = docs.select(F.col(key).alias("_id"), F.lower(F.trim("source")).alias("source"), F.col(text).alias("_text"))
@@ -161,12 +161,20 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, key: str
     t = t.withColumn("_base", F.floor("repeat_rate").cast("int")).withColumn("_pi", F.col("repeat_rate") - F.floor("repeat_rate"))
     t = t.withColumn("_h", F.xxhash64(F.lit(seed), "_id")).withColumn("_block", F.pmod(F.shiftright("_h", 7), F.ceil(F.col("available_docs") / block)))
     open_ = (F.col("_pi") > 1e-9) & (F.col("_pi") < 1 - 1e-9)
-    first = cut(_flight(t.where(open_).drop("repeat_rate", "available_docs"), ["source", "_block"], seed, False))
-    second = _flight(first.where(open_), ["source"], seed + 1, True)
-    whole = t.where(~open_).drop("repeat_rate", "available_docs").unionByName(first.where(~open_)).unionByName(second)
+    whole, rest, level = t.where(~open_).drop("repeat_rate", "available_docs"), t.where(open_).drop("repeat_rate", "available_docs"), 0
+    while True:
+        flown = cut(_flight(rest, ["source", "_block"], seed + 2 * level, False))
+        whole, rest, level = whole.unionByName(flown.where(~open_)), flown.where(open_), level + 1
+        left = rest.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if left <= block:
+            break
+        rest = rest.withColumn("_block", F.pmod(F.xxhash64(F.lit(level), "_h"), F.lit(-(-left // block))))
+    whole = whole.unionByName(_flight(rest, ["source"], seed + 1, True))
     copies = cut(whole.select(F.col("_id").alias(key), "source", "tokens", (F.col("_base") + F.round("_pi").cast("int")).alias("copies")))
     used = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("used_docs"))
     report = p.join(used, "source", "left").fillna(0, ["used_tokens", "used_docs"])
+    full = F.col("used_docs") == F.col("max_repeats") * F.col("available_docs")
+    report = report.withColumn("is_short", full & (F.col("used_tokens") < F.col("target_tokens")))
     report = report.join(F.broadcast(used.agg(F.sum("used_tokens").alias("_all"))))
     return copies, report.withColumn("actual_share", F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all")).otherwise(0.0)).drop("_all")
 
