@@ -58,7 +58,37 @@ SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>")
 JAMO = re.compile("[\u1100-\u11ff]")
 
 
-def _parts(ch: str) -> str:
+@lru_cache(maxsize=4)
+def published(spark) -> tuple[tuple[str, str], ...]:
+    """(letter, ASCII letter drawn like it) from the Unicode confusables data that comes with Spark's own Unicode library.
+
+    Letters of other scripts than Latin without a decomposition whose skeleton is that of an ASCII letter; where I and l share
+    one, lower-case letters become l and others I.  The tables above come first, and of the letters of one script only the
+    first is drawn like a given ASCII letter: confusables that only resemble it (sigma and o) keep texts of a script apart.
+    """
+    checker = getattr(spark._jvm.com.ibm.icu.text.SpoofChecker, "Builder")().build()
+    skeletons = lambda chars: checker.getSkeleton("\n".join(chars)).split("\n")
+    plain: dict[str, list[str]] = {}
+    letters = [chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()]
+    for ch, k in zip(letters, skeletons(letters)):
+        plain.setdefault(k, []).append(ch)
+    script = lambda ch: unicodedata.name(ch, "?").split()[0]
+    known = LOOK_ALIKE | RARE_ALIKE
+    taken = {(script(k), v) for k, v in known.items()}
+    others = [chr(c) for c in range(0x80, 0x20000) if not (0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xDFFF)]
+    others = [ch for ch in others if unicodedata.category(ch) in ("Lu", "Ll", "Lt", "Lo") and ch not in known and not unicodedata.decomposition(ch) and script(ch) != "LATIN"]
+    out = []
+    for ch, k in zip(others, skeletons(others)):
+        like = plain.get(k)
+        if like:
+            to = like[0] if len(like) == 1 else "l" if ch.islower() else "I"
+            if (script(ch), to) not in taken:
+                taken.add((script(ch), to))
+                out.append((ch, to))
+    return tuple(out)
+
+
+def _parts(ch: str, more: dict[str, str]) -> str:
     """Full decomposition of one character under the same-look rules, look-alikes resolved."""
     cat = unicodedata.category(ch)
     if cat == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or 0xE0100 <= ord(ch) <= 0xE01EF or ord(ch) == 0x034F:
@@ -69,21 +99,25 @@ def _parts(ch: str) -> str:
         return LOOK_ALIKE[ch]
     if ch in RARE_ALIKE:
         return RARE_ALIKE[ch]
+    if ch in more:
+        return more[ch]
     fields = unicodedata.decomposition(ch).split()
     if fields and (fields[0][0] != "<" or fields[0] in SAME_LOOK_TAGS or ch in DRAWN_AS_PARTS):
         codes = fields[1:] if fields[0][0] == "<" else fields
-        return "".join(_parts(chr(int(c, 16))) for c in codes)
+        return "".join(_parts(chr(int(c, 16)), more) for c in codes)
     return ch
 
 
-@lru_cache(maxsize=1)
-def tables() -> dict[str, np.ndarray]:
+@lru_cache(maxsize=4)
+def tables(alike: tuple[tuple[str, str], ...] = ()) -> dict[str, np.ndarray]:
     """The mapping as flat arrays; their size is bounded by the code space (sparse part about 30 KB).
 
+    ``alike`` are look-alikes beside the tables above, as published() gives them.
     ``size[cp]`` is how many code points cp becomes, ``at[cp]`` where they start in ``flat``;
     ``mark[cp]`` is the combining class; ``pair`` and ``made`` are the primary compositions.
     """
     src, flat, at, pair, made, marks = [], [], [], [], [], []
+    more = dict(alike)
     for cp in range(0x80, 0x30000):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF or 0x3400 <= cp <= 0x9FFF:
             continue
@@ -91,7 +125,7 @@ def tables() -> dict[str, np.ndarray]:
         k = unicodedata.combining(ch)
         if k:
             marks.append((cp, k))
-        p = _parts(ch)
+        p = _parts(ch, more)
         if p != ch:
             src.append((cp, len(p)))
             at.append(len(flat))
@@ -102,7 +136,7 @@ def tables() -> dict[str, np.ndarray]:
             pair.append((a << 21) | b)
             made.append(cp)
     for cp in range(0xE0000, 0xE01F0):
-        if _parts(chr(cp)) == "":
+        if _parts(chr(cp), more) == "":
             src.append((cp, 0))
             at.append(len(flat))
     src_a = np.array(src, np.uint32)
@@ -246,10 +280,12 @@ _FORMERS: dict[int, Former] = {}
 
 
 def former(t: dict[str, np.ndarray] | None = None) -> Former:
-    """One Former per Python worker."""
-    if 0 not in _FORMERS:
-        _FORMERS[0] = Former(t if t is not None else tables())
-    return _FORMERS[0]
+    """One Former per Python worker and mapping; without a mapping the tables above alone."""
+    t = tables() if t is None else t
+    size = len(t["src"])
+    if size not in _FORMERS:
+        _FORMERS[size] = Former(t)
+    return _FORMERS[size]
 
 
 def form_text(text: str | None) -> str | None:
@@ -263,7 +299,7 @@ def _digest(s: str) -> bytes:
 
 def _forms(spark):
     """The mapping, broadcast once; about 60 KB whatever the data."""
-    return spark.sparkContext.broadcast(tables())
+    return spark.sparkContext.broadcast(tables(published(spark)))
 
 
 def one_form(df: DataFrame, text: str = "text", out: str = "text_form") -> DataFrame:

@@ -95,3 +95,20 @@ def test_rare_look_alikes():
     both = V.LOOK_ALIKE | V.RARE_ALIKE
     seen = [(script(c), x) for c, x in both.items() if c not in "‐‑Ӏ"]
     assert len(both) == len(V.LOOK_ALIKE) + len(V.RARE_ALIKE) and len(seen) == len(set(seen))
+
+
+def test_published_look_alikes(spark):
+    """Every letter of the published data comes out as its ASCII letter, and no two letters of a script as one."""
+    import unicodedata
+
+    from burstlake.llm import visual as V
+
+    alike = V.published(spark)
+    f = V.former(V.tables(alike))
+    assert len(alike) > 100 and f.form([a for a, _ in alike]) == [b for _, b in alike]
+    assert f.form(["α", "ρ", "υ", "ⲟ", "ᗷ", "σ", "ß", "é", "ı"]) == ["a", "p", "u", "o", "B", "σ", "ß", "é", "ı"]
+    seen = set()
+    for a, b in alike + tuple(V.LOOK_ALIKE.items()):
+        if a.isalpha() and unicodedata.name(a).split()[0] != "CYRILLIC":
+            assert (key := (unicodedata.name(a).split()[0], b)) not in seen
+            seen.add(key)
