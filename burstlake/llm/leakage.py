@@ -18,15 +18,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .visual import Former, former, tables
+from ..session import table
+from .visual import Former, former, published, tables
 
 # Fixed masks: 1 takes the word, 0 ignores it.
 MASKS = ("110111", "111011", "1110111", "1101011")
 WINDOW = 6
 # For items with a floor below the usual: any passage of two points or more has two equal words in a row, one of one point has a word.
 SHORT = ("11", "1")
-CHANGED = 3
+CHANGED = 2
+#: A seed of more items of a block than this is looked up only for pairs that other seeds have found, where that is enough.
+HOT = 64
 ACCENTS = "\"'`^~=."
 MULT = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
@@ -47,8 +51,8 @@ def fold_table() -> np.ndarray:
     return out
 
 
-def _inverse(x: int, bits: int = 64) -> int:
-    return pow(x, -1, 1 << bits)
+# Blocks of scripts that are written without blanks (Thai, Lao, Burmese, Khmer, kana, Han); each letter there is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF))
 
 
 class Words:
@@ -60,7 +64,7 @@ class Words:
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word hashes of all texts, number of words of each text).
 
-        Words are runs of letters, compared without case and accents.  Command names, formulas in
+        Words are runs of letters, compared without case and accents; in scripts without blanks each letter is one.  Command names, formulas in
         dollars and digits are not words; braces, accent commands and hyphenated line ends do not
         break a word.  Comments count as text: a passage in a commented-out draft is still there.
         """
@@ -108,10 +112,14 @@ class Words:
             kind[money] = 0
         keep = np.flatnonzero(kind != 2)
         is_l = kind[keep] == 1
-        edge = np.flatnonzero(np.diff(is_l.astype(np.int8), prepend=0, append=0))
-        lo, hi = edge[::2], edge[1::2]
+        begin = is_l & ~np.append(False, is_l[:-1])
+        alone = cp[keep]
+        if int(alone.max()) >= UNSPACED[0][0]:
+            alone = np.logical_or.reduce([(alone >= a) & (alone <= b) for a, b in UNSPACED]) & is_l
+            begin |= is_l & (alone | np.append(False, alone[:-1]))
+        lo = np.flatnonzero(begin)
         at, let = keep[lo], letter[keep][is_l].astype(np.uint64)
-        size = hi - lo
+        size = np.diff(np.flatnonzero(begin[is_l]), append=len(let))
         end = np.cumsum(size)
         with np.errstate(over="ignore"):
             up = np.power(BASE, np.arange(16, dtype=np.uint64))
@@ -151,6 +159,13 @@ def floor(size: int, share: float, least: int) -> int:
     return min(least, max(1, int(np.ceil(share * size - 1e-9))))
 
 
+def _grouped(value: np.ndarray, at: np.ndarray):
+    """(value, the places of ``at`` that have it), by value."""
+    at = at[np.argsort(value[at], kind="stable")]
+    edge = np.flatnonzero(np.diff(value[at], prepend=-1))
+    return zip(value[at[edge]].tolist(), np.split(at, edge[1:]) if len(edge) else [])
+
+
 @dataclass
 class Items:
     """A block of held-out items: their words and the sorted seed hashes with item and position."""
@@ -162,9 +177,15 @@ class Items:
     pos: np.ndarray
     filter: np.ndarray
     short: bool  # some items are found by the masks in SHORT
+    shared: np.ndarray  # the seeds that are put off, sorted
+    later: dict[int, tuple[np.ndarray, np.ndarray]]  # item -> (numbers of its put-off seeds, their positions)
 
     @staticmethod
-    def build(ids: list, texts: list[str], words: Words, bits: int = 24, share: float = 0.5, least: int = 6) -> Items:
+    def build(ids: list, texts: list[str], words: Words, bits: int = 24, share: float = 0.5, least: int = 6, seed_share: float = 0.2) -> Items:
+        """Seeds that more than HOT items have are put off for every item of which they cover less than ``seed_share``.
+
+        Such an item is never a candidate by them alone, so nothing is lost: they are added to the pairs that its other seeds find.
+        """
         h, n = words.split(texts)
         each = np.split(h, np.cumsum(n)[:-1]) if len(n) else []
         seed, item, pos = [], [], []
@@ -180,9 +201,22 @@ class Items:
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         s, i, p = cat(seed, np.uint64), cat(item, np.int32), cat(pos, np.int32)
         by = np.argsort(s, kind="stable")
+        s, i, p = s[by], i[by], p[by]
+        first = np.flatnonzero(np.diff(s, prepend=~s[:1], append=~s[-1:]) != 0)
+        often = np.repeat(np.diff(first) > HOT, np.diff(first))
+        later, off = {}, np.zeros(len(s), bool)
+        for k, at in _grouped(i, np.flatnonzero(often)):
+            reach = np.minimum(np.diff(np.sort(p[at]), append=np.iinfo(np.int32).max), WINDOW).sum()
+            if floors[k] >= least and reach < seed_share * len(each[k]):
+                off[at] = True
+        shared = np.unique(s[off])
+        number = np.searchsorted(shared, s[off])
+        at_off = np.flatnonzero(off)
+        for k, own in _grouped(i[off], np.arange(len(at_off))):
+            later[k] = (number[own], p[at_off[own]])
         seen = np.zeros(1 << bits, bool)
         seen[(s >> np.uint64(64 - bits)).astype(np.int64)] = True
-        return Items(ids, each, s[by], i[by], p[by], seen, any(f < least and len(w) > 0 for f, w in zip(floors, each)))
+        return Items(ids, each, s[~off], i[~off], p[~off], seen, any(f < least and len(w) > 0 for f, w in zip(floors, each)), shared, later)
 
 
 def passages(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int, int, int, np.ndarray]]:
@@ -328,15 +362,22 @@ class Finder:
 
     def find(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(text number, item number, share of the item's words found) of every leak in the texts."""
-        h, n = self.words.split(texts)
+        return self.find_in(*self.words.split(texts))
+
+    def find_in(self, h: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float]]:
+        """find() in texts that are words already: the hashes of all words and how many each text has."""
         start = np.cumsum(n) - n
         of = np.repeat(np.arange(len(n)), n)
-        doc, item, at, few = [], [], [], []
+        doc, item, at, few, held = [], [], [], [], []
         t = self.items
         for m, mask in enumerate(MASKS + SHORT if t.short else MASKS):
             s = seeds(h, mask, m)
             p = np.flatnonzero(t.filter[(s >> self.bits).astype(np.int64)])
             p = p[of[p] == of[p + len(mask) - 1]]
+            if len(t.shared):
+                number = np.minimum(np.searchsorted(t.shared, s[p]), len(t.shared) - 1)
+                has = t.shared[number] == s[p]
+                held.append(np.unique(of[p[has]].astype(np.int64) * len(t.shared) + number[has]))
             lo, hi = np.searchsorted(t.seed, s[p], "left"), np.searchsorted(t.seed, s[p], "right")
             k = hi - lo
             p, lo, k = p[k > 0], lo[k > 0], k[k > 0]
@@ -354,6 +395,14 @@ class Finder:
         doc, item, at = (np.concatenate(x) for x in (doc, item, at))
         key = doc.astype(np.int64) * len(t.ids) + item
         wide = int(self.need.max()) + 1
+        if t.later and held:
+            held = np.unique(np.concatenate(held))
+            for k in np.unique(key).tolist():
+                d, i = divmod(k, len(t.ids))
+                if i in t.later:
+                    number, p = t.later[i]
+                    got = p[np.isin(d * len(t.shared) + number, held)]
+                    key, at = np.append(key, np.full(len(got), k)), np.append(at, got)
         key, at = np.divmod(np.unique(key * wide + at), wide)
         first = np.flatnonzero(np.diff(key, prepend=-1))
         # length of the union of the windows of a pair
@@ -390,13 +439,13 @@ class Finder:
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", share: float = 0.5, least: int = 6, seed_share: float = 0.2, block_items: int = 20_000, chars: int = 1_000_000) -> DataFrame:
     """(doc_key, item_key, share_found): documents that hold at least ``share`` of an item's words as passages in its order.
 
-    A passage scores at least ``least`` (equal words less inserted ones and three times the changed or lost ones), so shared
+    A passage scores at least ``least`` (equal words less inserted ones and twice the changed or lost ones), so shared
     phrases and scattered words add nothing.  Pairs are looked at when seed hits cover ``seed_share`` of the item.
     Of items too short for that (``share`` of their words is below ``least``) passages count from that share on, and every
     document with two of their words in a row, or one where one is enough, is looked at; no length is excluded.
-    A run of letters in a script without blanks is one word: it is found whole only, not in part.
     Items are taken in blocks of ``block_items`` (a block with its seeds is about 100 MB at most for
-    items of 100 words), each block against all documents.  Null or empty texts and items without a
+    items of 100 words), each block against all documents; with more than one block the documents are
+    split into words once and their hashes are kept as a table.  Null or empty texts and items without a
     word give no row; repeated documents give their row each time; repeated items count as one each.
     """
     spark = docs.sparkSession
@@ -404,39 +453,60 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str
     blocks = max(1, -(-q.count() // block_items))
     src = docs.select(F.col(doc_key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     kinds = [src.schema["k"].dataType.simpleString(), q.schema["i"].dataType.simpleString()]
-    maps, fold = spark.sparkContext.broadcast(tables()), spark.sparkContext.broadcast(fold_table())
-    result = None
+    forms = tables(published(spark))
+    maps, fold = spark.sparkContext.broadcast(forms), spark.sparkContext.broadcast(fold_table())
+    if blocks > 1:
+        src = table(src.mapInArrow(_hashed(maps, fold, chars), f"k {kinds[0]}, t binary"))
+    words, result = Words(former(forms), fold_table()), None
     for b in range(blocks):
         rows = q.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        words = Words(former(), fold_table())
-        block = spark.sparkContext.broadcast(Items.build([r[0] for r in rows], [r[1] for r in rows], words, share=share, least=least))
-        part = src.mapInArrow(_search(block, maps, fold, share, least, seed_share, chars), f"k {kinds[0]}, i {kinds[1]}, share_found double")
+        block = spark.sparkContext.broadcast(Items.build([r[0] for r in rows], [r[1] for r in rows], words, share=share, least=least, seed_share=seed_share))
+        part = src.mapInArrow(_search(block, maps, fold, share, least, seed_share, chars, to_arrow_schema(q.select("i").schema).field(0).type), f"k {kinds[0]}, i {kinds[1]}, share_found double")
         result = part if result is None else result.unionByName(part)
     return result.select(F.col("k").alias(doc_key), F.col("i").alias(item_key), "share_found")
 
 
-def _search(block, maps, fold, share, least, seed_share, chars):
+def _search(block, maps, fold, share, least, seed_share, chars, item_type):
     def run(batches):
         finder = Finder(block.value, Words(former(maps.value), fold.value), share, least, seed_share)
         ids = finder.items.ids
         for b in batches:
             keys, texts = b.column(0), b.column(1)
-            at, size, part = 0, 0, []
             rows, item, got = [], [], []
-            for n in range(b.num_rows + 1):
-                if n == b.num_rows or size >= chars:
-                    for d, i, s in finder.find(part) if part else []:
-                        rows.append(at + d)
-                        item.append(ids[i])
-                        got.append(s)
-                    at, size, part = n, 0, []
-                if n < b.num_rows:
-                    part.append(texts[n].as_py())
-                    size += len(part[-1])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(item, out_type(ids)), pa.array(got, pa.float64())], names=["k", "i", "share_found"])
+            for at, part in _pieces(texts, chars):
+                if isinstance(part[0], bytes):
+                    found = finder.find_in(np.frombuffer(b"".join(part), np.uint64), np.array([len(x) // 8 for x in part]))
+                else:
+                    found = finder.find(part)
+                for d, i, s in found:
+                    rows.append(at + d)
+                    item.append(ids[i])
+                    got.append(s)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(item, item_type), pa.array(got, pa.float64())], names=["k", "i", "share_found"])
 
     return run
 
 
-def out_type(ids: list) -> pa.DataType:
-    return pa.array(ids[:1]).type if ids else pa.int64()
+def _pieces(texts: pa.Array, chars: int):
+    """(number of the first text, texts) in pieces of about ``chars``, so that memory does not follow the batch."""
+    at, size, part = 0, 0, []
+    for n in range(len(texts)):
+        part.append(texts[n].as_py())
+        size += len(part[-1])
+        if size >= chars or n == len(texts) - 1:
+            yield at, part
+            at, size, part = n + 1, 0, []
+
+
+def _hashed(maps, fold, chars):
+    def run(batches):
+        words = Words(former(maps.value), fold.value)
+        for b in batches:
+            out = []
+            for _, part in _pieces(b.column(1), chars):
+                h, n = words.split(part)
+                end = np.cumsum(n)
+                out += [h[a - k : a].tobytes() for a, k in zip(end.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "t"])
+
+    return run

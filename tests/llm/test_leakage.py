@@ -45,7 +45,7 @@ def brute(doc, item):
         best, H = (0, 0, 0), [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
         for i in range(1, len(item) + 1):
             for j in range(1, len(doc) + 1):
-                H[i][j] = max(0, H[i - 1][j - 1] + (1 if eq[i - 1][j - 1] else -3), H[i - 1][j] - 3, H[i][j - 1] - 1)
+                H[i][j] = max(0, H[i - 1][j - 1] + (1 if eq[i - 1][j - 1] else -L.CHANGED), H[i - 1][j] - L.CHANGED, H[i][j - 1] - 1)
                 if H[i][j] > best[0]:
                     best = (H[i][j], i, j)
         if best[0] < 6:
@@ -53,10 +53,10 @@ def brute(doc, item):
         s, i, j = best
         i1, j1, same = i, j, 0
         while H[i][j] > 0:
-            if H[i][j] == H[i - 1][j - 1] + (1 if eq[i - 1][j - 1] else -3):
+            if H[i][j] == H[i - 1][j - 1] + (1 if eq[i - 1][j - 1] else -L.CHANGED):
                 same += eq[i - 1][j - 1]
                 i, j = i - 1, j - 1
-            elif H[i][j] == H[i - 1][j] - 3:
+            elif H[i][j] == H[i - 1][j] - L.CHANGED:
                 i -= 1
             else:
                 j -= 1
@@ -162,3 +162,52 @@ def test_short_items(spark, words):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     it = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, item_text string")
     assert {(x.doc_id, x.item_id) for x in L.leaks(df, it).collect()} == want
+
+
+@pytest.mark.parametrize("rate, least", [(0.1, 1.0), (0.2, 0.9), (0.25, 0.6)])
+def test_recall_by_rate_of_changed_words(words, rate, least):
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(4000)]
+    items = [[r.choice(vocab) for _ in range(60)] for _ in range(80)]
+    find = L.Finder(L.Items.build(list(range(80)), [" ".join(x) for x in items], words), words, 0.5, 6, 0.2)
+    noise = lambda: [r.choice(vocab) for _ in range(100)]
+    docs = [" ".join(noise() + [w if r.random() >= rate else r.choice(vocab) for w in x] + noise()) for x in items]
+    got = {(d, i) for d, i, _ in find.find(docs)}
+    assert sum((k, k) in got for k in range(80)) / 80 >= least and all(d == i for d, i in got)
+
+
+def test_scripts_without_blanks_are_found_in_part(words):
+    r = random.Random(3)
+    han = [chr(0x4E00 + k) for k in r.sample(range(6000), 400)]
+    item = "".join(r.choice(han) for _ in range(40))
+    find = L.Finder(L.Items.build([7], [item], words), words, 0.5, 6, 0.2)
+    docs = ["前言。" + item[:25] + "。" + "".join(r.choice(han) for _ in range(30)), "".join(r.choice(han) for _ in range(80)), item[:12]]
+    assert [(d, i) for d, i, _ in find.find(docs)] == [(0, 0)]
+
+
+def test_a_phrase_shared_by_all_items_loses_no_pair(words):
+    """Seeds of a template are put off; pairs are the same as without that."""
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    phrase = [r.choice(vocab) for _ in range(9)]
+    items = [phrase + [r.choice(vocab) for _ in range(r.choice([12, 50]))] for _ in range(150)]
+    docs = [" ".join([r.choice(vocab) for _ in range(40)] + (phrase if k % 2 else []) + items[k][r.choice([0, 9]) :] + [r.choice(vocab) for _ in range(9)]) for k in range(150)]
+    texts = [" ".join(x) for x in items]
+    build = lambda: L.Finder(L.Items.build(list(range(150)), texts, words), words, 0.5, 6, 0.2)
+    some = build()
+    assert some.items.later and len(some.items.later) < 150
+    hot, L.HOT = L.HOT, 10**9
+    try:
+        plain = build()
+    finally:
+        L.HOT = hot
+    assert not plain.items.later and sorted(some.find(docs)) == sorted(plain.find(docs)) and len(some.find(docs)) >= 140
+
+
+def test_blocks_share_the_words_of_the_documents(spark, words):
+    r = random.Random(2)
+    items = [text(r, 45) for _ in range(6)]
+    docs = spark.createDataFrame([(k, " ".join(text(r, 20) + items[k % 6] + text(r, 20))) for k in range(12)] + [(99, None), (98, "")], "doc_id int, text string")
+    held = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id int, item_text string")
+    got = [sorted((x.doc_id, x.item_id, x.share_found) for x in L.leaks(docs, held, block_items=n).collect()) for n in (2, 100)]
+    assert got[0] == got[1] and {(d, i) for d, i, _ in got[0]} >= {(k, k % 6) for k in range(12)}
