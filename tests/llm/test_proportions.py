@@ -88,3 +88,35 @@ def test_shortfalls_are_what_flows_over_the_slack_arcs():
             want = max(c[3], c[2] * 731)
             assert x["shortfall"] == max(0, -(-want // 1) - c[4]) and x["is_short"] == (c[4] < want)
             assert x["quota"] == c[4] if x["is_short"] else x["quota"] in (int(want), int(want) + 1)
+
+
+def test_margins_and_total_stay_within_one_and_means_are_right():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    share = r.random((6, 5)) ** 2
+    share /= share.sum()
+    cells = [(f"r{i}", j, float(share[i, j]), 0, 10**6) for i in range(6) for j in range(5)]
+    total = np.zeros((6, 5))
+    for seed in range(300):
+        q = np.array([x["quota"] for x in P.quotas(cells, 997, seed)]).reshape(6, 5)
+        want = share * 997
+        assert (np.abs(q - want) < 1).all() and q.sum() in (996, 997, 998)
+        assert (np.abs(q.sum(0) - want.sum(0)) < 1.001).all() and (np.abs(q.sum(1) - want.sum(1)) < 1.001).all()
+        total += q
+    assert (np.abs(total / 300 - share * 997) < 0.12).all()
+
+
+def test_slack_is_what_a_flow_without_it_cannot_send():
+    r = random.Random(8)
+    for _ in range(20):
+        cells = [(a, b, 0.0, r.randint(0, 9), r.randint(0, 9)) for a in "xyz" for b in range(3)]
+        g = P.Flow(8 + len(cells))
+        for k in range(3):
+            g.arc(0, 1 + k, sum(c[3] for c in cells if c[0] == "xyz"[k]), 0)
+            g.arc(4 + k, 7, sum(c[3] for c in cells if c[1] == k), 0)
+        for n, c in enumerate(cells):
+            g.arc(1 + "xyz".index(c[0]), 8 + n, c[3], 0)
+            g.arc(8 + n, 4 + c[1], c[4], 0)
+        sent = g.run(0, 7, 10**6)
+        assert sum(x["shortfall"] for x in P.quotas(cells, 5)) == sum(c[3] for c in cells) - sent
