@@ -101,6 +101,21 @@ def checked(x: Column, name: str, low=None, high=None, clip_low=False, clip_high
     return F.when(x.isNull(), x).otherwise(out)
 
 
+def checked_whole(x: Column, name: str, low=0, high=None, **how) -> Column:
+    """checked() of a value that must be a whole number (of any numeric type), as bigint; others raise.  Null stays null."""
+    whole = F.when(x == F.floor(x), F.floor(x).cast("bigint")).when(x.isNotNull(), F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), x.cast("string"))).cast("bigint"))
+    return checked(whole, name, low, high, **how)
+
+
+def checked_array(values: Column, name: str, least: int | None = None, most: int | None = None, exact: int | None = None) -> Column:
+    """The array itself if its length is within the limits and every element is finite, else an error that names it.  Null stays null."""
+    out, n = values, F.size(values)
+    for bad, what in ((least is not None and n < least, f"shorter than {least}"), (most is not None and n > most, f"longer than {most}"), (exact is not None and n != exact, f"not of length {exact}"), (~all_finite(values), "not finite")):
+        if bad is not False:
+            out = F.when(bad, F.raise_error(F.lit(f"{name} is {what}"))).otherwise(out)
+    return F.when(values.isNotNull(), out)
+
+
 def checked_text(x: Column, name: str, valid=(), form: str = "lower") -> Column:
     """Trimmed and cased text; values outside ``valid`` raise.  form: lower, upper, title or none."""
     how = {"lower": F.lower, "upper": F.upper, "title": F.initcap, "none": lambda c: c}[form]
@@ -133,14 +148,18 @@ def has_keys(values: Column, keys) -> Column:
     return out
 
 
+class MetadataError(AttributeError, ValueError):
+    """Metadata that an operator needs is missing or of another type."""
+
+
 def require(df: DataFrame, columns: dict[str, str] | list[str]) -> DataFrame:
-    """df itself if it has the columns (with these types), else ValueError; checked before anything runs."""
+    """df itself if it has the columns (with these types), else MetadataError; checked before anything runs."""
     have = dict(df.dtypes)
     for c in columns:
         if c not in have:
-            raise ValueError(f"missing column {c}")
+            raise MetadataError(f"missing column {c}")
         if isinstance(columns, dict) and columns[c] != have[c]:
-            raise ValueError(f"column {c} is {have[c]}, not {columns[c]}")
+            raise MetadataError(f"column {c} is {have[c]}, not {columns[c]}")
     return df
 
 

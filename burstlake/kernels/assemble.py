@@ -128,11 +128,11 @@ def burst(c: DatasetConfig, name: str, rng: np.random.Generator, chain=()) -> tu
     return x, {"bandwidth": width, "snr_db": snr, "duration_in_samples": len(x)}
 
 
-def sample(sample_id: int, c: DatasetConfig) -> dict:
-    """A whole sample: i, q, and the list of its components.  Placement tries at most ten times the number of signals."""
+def sample(sample_id: int, c: DatasetConfig, more: tuple = ()) -> dict:
+    """A whole sample: i, q, and the list of its components; ``more`` follows the burst chain of the impairment level.  Placement tries at most ten times the number of signals."""
     rng = generator(c.seed, sample_id)
     names, p = c.generators()
-    chain, _ = ops.impairments(c.impairment_level)
+    chain = (*ops.impairments(c.impairment_level)[0], *more)
     n = c.num_iq_samples_dataset
     x = noise_floor(n, c.noise_power_db, c.fft_size, c.fft_stride, rng)
     want, placed, comps = int(rng.integers(c.num_signals_min, c.num_signals_max + 1)), [], []

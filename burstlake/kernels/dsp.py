@@ -132,9 +132,11 @@ def resample_taps(h: np.ndarray, x: np.ndarray, up: int, down: int) -> np.ndarra
 
     Output m needs the phase (m * down) % up of the taps and the inputs at and before (m * down) // up.
     """
-    if up == 1:
-        return convolve_full(x, h)[::down]
     n = -(-((len(x) - 1) * up + len(h)) // down)
+    if up == 1:
+        padded = np.concatenate([np.zeros(len(h) - 1, x.dtype), x, np.zeros(len(h) - 1, x.dtype)])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, len(h))[::down]
+        return np.concatenate([windows[a : a + 1_024] @ h[::-1] for a in range(0, n, 1_024)])
     t = -(-len(h) // up)
     bank = np.zeros(t * up)
     bank[: len(h)] = h

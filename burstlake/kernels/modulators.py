@@ -25,13 +25,14 @@ OFDM_CONSTELLATIONS = ("bpsk", "qpsk", "16qam", "64qam", "256qam", "1024qam")
 
 @lru_cache(maxsize=1)
 def families() -> dict[str, str]:
-    """class -> family, in class order."""
+    """class -> family, in class order (fixed values: the order of the families)."""
     out = {"ook": "ook"}
-    out |= {c: "psk" for c in PSK} | {c: "qam" for c in QAM} | {c: "ask" for c in ASK}
+    out |= {c: "ask" for c in ASK}
     out |= {f"{n}{k}": "fsk" for k in FSK_KINDS for n in FSK_ORDERS}
+    out |= {c: "psk" for c in PSK} | {c: "qam" for c in QAM}
     out |= {f"ofdm-{n}": "ofdm" for n in OFDM_SUBCARRIERS}
-    out |= {f"am-{m}": "am" for m in AM_MODES} | {"fm": "fm", "tone": "tone"}
-    return out | {k: "chirp" for k in (*LFM_KINDS, "chirpss")}
+    out |= {"fm": "fm"} | {f"am-{m}": "am" for m in AM_MODES}
+    return out | {k: "chirp" for k in (*LFM_KINDS, "chirpss")} | {"tone": "tone"}
 
 
 def classes_of(name: str) -> list[str]:
@@ -177,24 +178,21 @@ def _ofdm(name, bandwidth, sample_rate, n, rng):
     return _to_bandwidth(make, bandwidth, sample_rate, n)
 
 
-def _lfm(name, bandwidth, sample_rate, n, rng):
-    def make(m):
-        sps, b = int(rng.integers(128, 4096)), 1 / OVERSAMPLING
-        up = np.ones(-(-m // sps), bool) if name == "lfm_radar" else rng.integers(0, 2, -(-m // sps)) > 0
-        sweep = {True: chirp(-b / 2, b / 2, sps), False: chirp(b / 2, -b / 2, sps)}
-        return _limited(np.concatenate([sweep[bool(u)] for u in up])[:m], b, rng)
-
-    return _to_bandwidth(make, bandwidth, sample_rate, n)
-
-
-def _chirpss(name, bandwidth, sample_rate, n, rng):
-    def make(m):
-        sps, b = int(rng.integers(128, 4096)), 1 / OVERSAMPLING
+def chirp_symbols(name, m, rng):
+    """m samples of chirps at four samples a cycle of the bandwidth: sweeps up (radar), up or down by the bits, or cyclically shifted."""
+    sps, b = int(rng.integers(128, 4096)), 1 / OVERSAMPLING
+    count = -(-m // sps)
+    if name == "chirpss":
         twice = np.tile(chirp(-b, b, sps), 2)
-        shift = (rng.integers(0, 128, -(-m // sps)) / 128 * sps).astype(int)
-        return _limited(np.concatenate([twice[k : k + sps] for k in shift])[:m], b, rng)
+        shift = (rng.integers(0, 128, count) / 128 * sps).astype(int)
+        return np.concatenate([twice[k : k + sps] for k in shift])[:m]
+    up = np.ones(count, bool) if name == "lfm_radar" else rng.integers(0, 2, count) > 0
+    sweep = {True: chirp(-b / 2, b / 2, sps), False: chirp(b / 2, -b / 2, sps)}
+    return np.concatenate([sweep[bool(u)] for u in up])[:m]
 
-    return _to_bandwidth(make, bandwidth, sample_rate, n)
+
+def _chirps(name, bandwidth, sample_rate, n, rng):
+    return _to_bandwidth(lambda m: _limited(chirp_symbols(name, m, rng), 1 / OVERSAMPLING, rng), bandwidth, sample_rate, n)
 
 
 def _fm(name, bandwidth, sample_rate, n, rng):
@@ -232,5 +230,5 @@ def modulate(name: str, bandwidth: float, sample_rate: float, n: int, rng: np.ra
     fam = families().get(name)
     if fam is None:
         raise ValueError(f"unknown signal class {name!r}")
-    make = {"fsk": _fsk, "ofdm": _ofdm, "am": _am, "fm": _fm}.get(fam) or (_chirpss if name == "chirpss" else _lfm if fam == "chirp" else _symbols)
+    make = {"fsk": _fsk, "ofdm": _ofdm, "am": _am, "fm": _fm}.get(fam) or (_chirps if fam == "chirp" else _symbols)
     return make(name, bandwidth, sample_rate, n, rng)

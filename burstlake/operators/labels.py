@@ -72,13 +72,18 @@ def probabilities(generators: DataFrame, likelihood: str = "likelihood", order:
 
 
 def draw_generator(rows: DataFrame, generators: DataFrame, key: str, seed: int = 0, order: str = "generator_id") -> DataFrame:
-    """Each row with the generator whose interval its draw falls into.  The generators are a checked small table."""
-    if generators.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10 000 generators")
+    """Each row with the generator whose interval its draw falls into.
+
+    Intervals and draws meet in cells of the unit range, an equi-join: an interval has a row in each cell it touches, so the
+    generators grow by at most ``cells`` rows and a row meets only the intervals of its cell.
+    """
+    cells = 4096
     g = probabilities(generators, order=order)
     top = g.agg(F.max("high").alias("_top"))
-    d = rows.withColumn("_u", rng.uniform(seed, "generator", key)).join(F.broadcast(top)).withColumn("_u", F.least("_u", F.col("_top") * (1 - 1e-15)))
-    return d.join(F.broadcast(g), (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).drop("_u", "_top")
+    at = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1)).cast("int")
+    g = g.withColumn("_cell", F.explode(F.sequence(at(F.col("low")), at(F.col("high")))))
+    d = rows.withColumn("_u", rng.uniform(seed, "generator", key)).join(F.broadcast(top)).withColumn("_u", F.least("_u", F.col("_top") * (1 - 1e-15))).withColumn("_cell", at(F.col("_u")))
+    return d.join(g, "_cell").where((F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).drop("_u", "_top", "_cell")
 
 
 def inherit(child: DataFrame, parents: DataFrame, key: str, columns: list[str]) -> DataFrame:

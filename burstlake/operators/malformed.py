@@ -132,12 +132,8 @@ class Grammar:
         whole = "".join(t or "" for t in texts)
         at = 0
         for t in texts:
-            start, at = at, at + len(t or "")
-            try:
-                fields, _ = self.record(whole, start, at, False)
-                r = self.typed(start, fields)
-            except Broken as x:
-                r = Record(start, None, "broken_quoting", x.field_no, x.offset, x.what)
+            start, end = at, at + len(t or "")
+            r, at = self.step(whole, start, end, False, lambda end=end: end)
             if r.offset is not None:
                 r.offset -= start
             yield r
@@ -146,15 +142,18 @@ class Grammar:
         """All records of a file; after broken quotes it resumes at the next validated anchor."""
         at, end = 0, len(s)
         while at < end:
-            try:
-                fields, nxt = self.record(s, at, end, True)
-                if nxt < end and s[nxt] != "\n":
-                    raise Broken(nxt, len(fields), "text after a closing quote")
-                yield self.typed(at, fields)
-                at = nxt + 1
-            except Broken as x:
-                yield Record(at, None, "broken_quoting", x.field_no, x.offset, x.what)
-                at = self._anchor(s, at, end)
+            r, at = self.step(s, at, end, True, lambda at=at: self._anchor(s, at, end))
+            yield r
+
+    def step(self, s: str, at: int, end: int, lines: bool, anchor) -> tuple[Record, int]:
+        """The record at ``at`` and where the next one starts; after broken quotes that is ``anchor()``, a record start known to be one."""
+        try:
+            fields, nxt = self.record(s, at, end, lines)
+            if lines and nxt < end and s[nxt] != "\n":
+                raise Broken(nxt, len(fields), "text after a closing quote")
+            return self.typed(at, fields), nxt + lines
+        except Broken as x:
+            return Record(at, None, "broken_quoting", x.field_no, x.offset, x.what), anchor()
 
     def _anchor(self, s: str, at: int, end: int) -> int:
         line = s.find("\n", at)

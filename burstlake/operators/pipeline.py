@@ -11,13 +11,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import rng, scalar
+from ..functions import arrays, rng, scalar
+from ..kernels.draws import Counter, stream_key
 from ..kernels.ops import Maybe, Op, Pick, steps
 
 #: Pairs of these undo each other.
 INVOLUTIONS = {"ChannelSwap", "SpectralInversion"}
 
 
+#: Layouts that may end a chain: the rails become one column.
+LAYOUTS = {"ComplexTo2D": arrays.stacked, "InterleaveComplex": arrays.interleaved}
+
+
+def is_raw(*chains) -> bool:
+    """Whether nothing is applied at all, so that stored samples are as they were generated."""
+    return not any(steps(*(x for x in c if x not in LAYOUTS)) or any(x in LAYOUTS for x in c if isinstance(x, str)) for c in chains)
+
+
 def simplified(chain) -> tuple:
     """The chain without pairs that undo each other, adjacent fixed rotations merged."""
     out: list = []
@@ -182,8 +192,14 @@ def apply(df: DataFrame, *chain, key: str = "sample_id", seed: int = 0, keep_dra
     """Runs the chain on signals (key, i array<float>, q array<float>, metadata...).
 
     Results do not depend on partitioning or order.  Null signals stay null, empty ones stay empty.
-    Required columns of the ops are checked before anything runs.
+    Required columns of the ops are checked before anything runs.  A layout of LAYOUTS may stand last: the column
+    ``data`` takes the place of i and q.
     """
+    if any(isinstance(x, str) and x in LAYOUTS for x in chain):
+        *chain, layout = chain
+        if layout not in LAYOUTS or any(isinstance(x, str) and x in LAYOUTS for x in chain):
+            raise ValueError("a layout ends the chain")
+        return apply(df, *chain, key=key, seed=seed, keep_draws=keep_draws).withColumn("data", LAYOUTS[layout](F.col("i"), F.col("q"))).drop("i", "q")
     chain = simplified(chain)
     for _, o, _ in _flat(chain):
         scalar.require(df, list(o.required))
@@ -206,12 +222,12 @@ def apply(df: DataFrame, *chain, key: str = "sample_id", seed: int = 0, keep_dra
                     for j in dr[at]:
                         x = walk(steps(s.ops[j]), f"{at}p{j}_", x)
                 else:
-                    r = np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, (hash_key(k) + hash_key(at)) & 0xFFFFFFFFFFFFFFFF]))
                     p = known | s.fixed | {name: dr[f"{at}_{name}"] for name in s.draws}
-                    x = s(x, p, r).astype(np.complex64)
+                    x = s(x, p, Counter(stream_key(seed, k, at)))
             return x
 
-        return walk(chain, "t", x) if len(x) else x
+        # in double precision throughout, rounded once at the end
+        return walk(chain, "t", x.astype(np.complex128)) if len(x) else x
 
     d = kernel_pass(d, run_chain, ["draws", *given], key)
     return d if keep_draws else d.drop("draws")

@@ -77,12 +77,26 @@ def dsp_interpolate(spark, d):
 
 @q
 def dsp_noise(spark, d):
-    """Mean power of the noise colours, continuous and impulsive."""
+    """Mean power of the noise colours, continuous and impulsive, and the power of the frequency that their spectrum falls with."""
+
+    def one(color, continuous, power):
+        x = dsp.noise(16_384, power, color, continuous, np.random.default_rng(1))
+        f, p = np.arange(1, 8192), np.abs(np.fft.fft(x)[1:8192]) ** 2
+        edges = 2 ** np.arange(1, 14)
+        bands = [(np.log(f[(f >= a) & (f < b)]).mean(), np.log(p[(f >= a) & (f < b)].mean())) for a, b in zip(edges[3:], edges[4:])]
+        yield color, continuous, power, round(float(np.mean(np.abs(x) ** 2)), 9), int(round(np.polyfit(*zip(*bands), 1)[0]))
+
     rows = [(c, k, p) for c in ("white", "pink", "red") for k in (True, False) for p in (0.5, 2.0)]
-    return _cases(spark, rows, "color string, continuous boolean, power double", "color string, continuous boolean, power double, mean_power double", lambda c, k, p: [(c, k, p, round(float(np.mean(np.abs(dsp.noise(4096, p, c, k, np.random.default_rng(1))) ** 2)), 9))])
+    return _cases(spark, rows, "color string, continuous boolean, power double", "color string, continuous boolean, power double, mean_power double, slope int", one)
 
 
-SQL["dsp_noise"] = "SELECT color, continuous, power, power AS mean_power FROM (SELECT unnest(['white', 'pink', 'red']) AS color) CROSS JOIN (SELECT unnest([true, false]) AS continuous) CROSS JOIN (SELECT unnest([0.5e0, 2e0]) AS power)"
+SQL["dsp_noise"] = "SELECT color, continuous, power, power AS mean_power, slope FROM (SELECT unnest(['white', 'pink', 'red']) AS color, unnest([0, -1, -2]) AS slope) CROSS JOIN (SELECT unnest([true, false]) AS continuous) CROSS JOIN (SELECT unnest([0.5e0, 2e0]) AS power)"
+SQL["dsp_interpolate"] = "SELECT rate::INTEGER AS rate, (500 * rate)::INTEGER AS half_band, (500 * rate)::INTEGER AS whole, round_even(500e0 / rate, 0)::INTEGER AS decimated FROM (SELECT unnest([2, 4, 8]) AS rate)"
+SQL["dsp_clock"] = "SELECT kind, ppm, 4096::INTEGER AS n, true AS keeps_power FROM (SELECT unnest(['drift', 'jitter']) AS kind) CROSS JOIN (SELECT unnest([1e0, 10e0]) AS ppm)"
+SQL["dsp_snr"] = "SELECT snr_db, snr_db AS peak_db, true AS band_found FROM (SELECT unnest([10e0, 20e0, 30e0]) AS snr_db)"
+SQL["dsp_doppler"] = "SELECT velocity, 8192::INTEGER AS n, true AS moved FROM (SELECT unnest([-3e6, 0e0, 3e6]) AS velocity)"
+SQL["dsp_half_band"] = """WITH w AS (SELECT stage, 2 * (0.25e0 - 0.25e0 * 0.8e0 / pow(2, stage)) AS width FROM (SELECT unnest(range(4)) AS stage)), l AS (SELECT stage, round_even(1 / width * (120e0 / 22), 0)::BIGINT AS n FROM w), k AS (SELECT stage, 4 * ceil((n + 1 - n % 2 + 1) / 4e0)::BIGINT - 1 AS taps FROM l)
+SELECT stage::INTEGER AS stage, taps::INTEGER AS taps, (2 * ((taps // 2) // 2))::INTEGER AS zeros FROM k"""
 
 
 @q

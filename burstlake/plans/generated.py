@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from ..kernels import ops
 from ..kernels.assemble import DatasetConfig
-from ..kernels.modulators import families
+from ..kernels.modulators import chirp_symbols, classes_of, families
 from ..operators import iq, pipeline
 from ..session import ensure_checkpoint_dir
 from ..sources import dataset, generator, npy
-from .views import iq_array, iq_long, r6
+from . import modulator_sql, transform_sql
+from ..functions import rng
+from .views import IQ, iq_array, iq_long, r6
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = transform_sql.SQL | modulator_sql.SQL
 NARROW = DatasetConfig(dataset_length=64, seed=42, num_iq_samples_dataset=4096, fft_size=64, fft_stride=64, num_signals_max=3, signal_duration_in_samples_min=1024, signal_duration_in_samples_max=3072, bandwidth_min=5e5, bandwidth_max=1e6)
 
 
@@ -35,9 +37,11 @@ def _signals(spark, d):
 
 
 def _stats(df, *keep):
-    """Per signal: length, power and a checksum that sees every sample."""
+    """Per signal: length, power and a checksum in which every sample has a weight of its own."""
     p = F.aggregate(F.zip_with("i", "q", lambda a, b: a.cast("double") * a + b.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
-    return df.select(*keep, F.size("i").alias("n"), F.round(F.try_divide(p, F.size("i")), 3).alias("mean_power"))
+    weighed = F.zip_with(F.transform("i", lambda v, k: v.cast("double") * F.cos(k)), F.transform("q", lambda v, k: v.cast("double") * F.sin(k)), lambda a, b: a + b)
+    total = F.aggregate(weighed, F.lit(0.0), lambda a, b: a + b)
+    return df.select(*keep, F.size("i").alias("n"), (F.round(F.try_divide(p, F.size("i")), 3) + F.lit(0.0)).alias("mean_power"), (F.round(total, 5) + F.lit(0.0)).alias("checksum"))
 
 
 @q
@@ -46,6 +50,71 @@ def gen_modulators(spark, d):
     return _stats(generator.bursts(spark, list(families()), 8192, 1e6, 10e6, seed=3), "class_name", "copy")
 
 
+def _bursts(spark, d, family, n, make=None):
+    """A burst of every class of the family for every writer run, at four samples a cycle of the bandwidth, where nothing is resampled."""
+    names = spark.createDataFrame([(c,) for c in classes_of(family)], "class_name string")
+    runs = spark.read.parquet(f"{d}/writer_runs.parquet").select(F.col("run_id").alias("copy")).distinct()
+    return _stats(generator.bursts_of(names.join(runs).repartition("class_name", "copy"), n, 2.5e6, 10e6, 3, make), "class_name", "copy")
+
+
+@q
+def gen_psk(spark, d):
+    """Phase-shift keying, rectangular and root-raised-cosine pulses."""
+    return _bursts(spark, d, "psk", modulator_sql.LINEAR)
+
+
+@q
+def gen_qam(spark, d):
+    """Square, rectangular and cross constellations."""
+    return _bursts(spark, d, "qam", modulator_sql.LINEAR)
+
+
+@q
+def gen_ask(spark, d):
+    """Amplitude-shift keying."""
+    return _bursts(spark, d, "ask", modulator_sql.LINEAR)
+
+
+@q
+def gen_ook(spark, d):
+    """On-off keying."""
+    return _bursts(spark, d, "ook", modulator_sql.LINEAR)
+
+
+@q
+def gen_fsk(spark, d):
+    """Frequency-shift keying of two to sixteen tones, plain, minimum and Gaussian."""
+    return _bursts(spark, d, "fsk", modulator_sql.SHIFT)
+
+
+@q
+def gen_ofdm(spark, d):
+    """Subcarriers with drawn constellations and cyclic prefixes."""
+    return _bursts(spark, d, "ofdm", modulator_sql.CARRIERS)
+
+
+@q
+def gen_chirps(spark, d):
+    """Chirps before their drawn band limit: sweeps by bits, radar, spread spectrum."""
+    return _bursts(spark, d, "chirp", modulator_sql.SWEEPS, lambda name, bandwidth, rate, n, rng: chirp_symbols(name, n, rng))
+
+
+@q
+def gen_family(spark, d):
+    """A burst of a drawn class of every family for every writer run."""
+    names = spark.createDataFrame([(f,) for f in dict.fromkeys(families().values())], "family string")
+    runs = spark.read.parquet(f"{d}/writer_runs.parquet").select(F.col("run_id").alias("copy")).distinct()
+    x = generator.family_bursts(names.join(runs).repartition("family", "copy"), 256, 2.5e6, 10e6, 3)
+    return x.select("family", "family_index", "class_name", "copy", F.size("i").alias("n"))
+
+
+@q
+def gen_tone(spark, d):
+    """A tone at 0 Hz."""
+    x = generator.bursts(spark, ["tone"], 64, 1e6, 10e6).select(F.posexplode(F.arrays_zip("i", "q")).alias("n", "x"))
+    return x.select(F.col("n").cast("bigint").alias("n"), F.col("x.i").cast("double").alias("i"), F.col("x.q").cast("double").alias("q"))
+
+
 @q
 def gen_dataset(spark, d):
     """Generated samples with up to three signals, impaired at level 2: metadata of every component."""
@@ -62,6 +131,19 @@ def gen_source(spark, d):
     return df.select("sample_id", F.size("i").alias("n"), F.size("components").alias("n_signals"))
 
 
+def _layout(name):
+    def run(spark, d):
+        x = pipeline.apply(_signals(spark, d), "ChannelSwap", name, seed=7)
+        x = x.select("sample_id", F.posexplode(F.flatten("data") if name == "ComplexTo2D" else F.col("data")).alias("k", "v"))
+        return x.select("sample_id", F.col("k").cast("bigint").alias("k"), (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("v"))
+
+    QUERIES[f"tf_{name}"] = run
+
+
+for _name in pipeline.LAYOUTS:
+    _layout(_name)
+
+
 def _transform(name):
     def run(spark, d):
         return _stats(pipeline.apply(_signals(spark, d), ops.OPS[name], seed=7), "sample_id", F.round("center_freq", 9).alias("center_freq"), "start_in_samples", F.round("snr_db", 6).alias("snr_db"))
@@ -209,3 +291,23 @@ SELECT s AS start, s + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value)
 from .signals import stft_sql  # noqa: E402
 
 SQL["spec_kernel"] = f"WITH {stft_sql(16, 8)} SELECT vec_id, frame, bin, round(db, 2) AS db FROM sp"
+SQL["io_npy_round_trip"] = f"""WITH {IQ} SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS idx, ((row_number() OVER (ORDER BY vec_id) - 1) // 100)::INTEGER AS file_no, ((row_number() OVER (ORDER BY vec_id) - 1) % 100)::BIGINT AS at,
+ (label % 3)::INTEGER AS class_index, 32::INTEGER AS n, round(i::FLOAT::DOUBLE, 4) + 0e0 AS second FROM iq WHERE n = 1"""
+SQL["gen_classes"] = """SELECT (row_number() OVER (ORDER BY f, k) - 1)::INTEGER AS class_index, class_name, family FROM (
+ SELECT 0 AS f, 0 AS k, 'ook' AS class_name, 'ook' AS family UNION ALL SELECT 1, k, (4 * pow(2, k))::INTEGER || 'ask', 'ask' FROM (SELECT unnest(range(5)) AS k)
+ UNION ALL SELECT 2, 4 * t + k, (2 * pow(2, k))::INTEGER || ['fsk', 'gfsk', 'msk', 'gmsk'][t + 1], 'fsk' FROM (SELECT unnest(range(4)) AS t) CROSS JOIN (SELECT unnest(range(4)) AS k)
+ UNION ALL SELECT 3, unnest(range(6)), unnest(['bpsk', 'qpsk', '8psk', '16psk', '32psk', '64psk']), 'psk'
+ UNION ALL SELECT 4, unnest(range(8)), unnest(['16qam', '32qam', '32qam_cross', '64qam', '128qam_cross', '256qam', '512qam_cross', '1024qam']), 'qam'
+ UNION ALL SELECT 5, unnest(range(12)), 'ofdm-' || unnest([64, 72, 128, 180, 256, 300, 512, 600, 900, 1024, 1200, 2048]), 'ofdm'
+ UNION ALL SELECT 6, 0, 'fm', 'fm' UNION ALL SELECT 7, unnest(range(4)), 'am-' || unnest(['dsb', 'dsb-sc', 'usb', 'lsb']), 'am'
+ UNION ALL SELECT 8, unnest(range(3)), unnest(['lfm_data', 'lfm_radar', 'chirpss']), 'chirp' UNION ALL SELECT 9, 0, 'tone', 'tone')"""
+_u = lambda op: rng.uniform_sql(7, op, "vec_id")
+SQL["tf_draws"] = f"""SELECT vec_id AS sample_id, {_u('t0')} < 0.75e0 AS quantized, round(6 + 12 * {_u('t0m0.bits')}, 6) AS bits, [x.j::INTEGER for x in list_sort([{', '.join(f"{{'u': {_u(f't12.{j}')}, 'j': {j}}}" for j in range(4))}])[1:2]] AS picked FROM embeddings"""
+SQL["io_configs"] = """WITH b AS (SELECT unnest(['narrowband', 'wideband']) AS band, unnest([4096, 262144]) AS n, unnest([1, 5]) AS most, unnest(['iq', 'spectrogram']) AS representation), k AS (SELECT unnest(['clean', 'impaired']) AS kind, unnest([0, 2]) AS impair), p AS (SELECT unnest(['train', 'val']) AS part, unnest([0, 1]) AS late)
+SELECT band || '_' || kind || '_' || part AS config, (CASE WHEN band = 'wideband' THEN [57000, 11400] WHEN kind = 'clean' THEN [1140000, 11400] ELSE [5700000, 114000] END)[late + 1]::BIGINT AS dataset_length, (1234567890 + impair + late)::BIGINT AS seed, impair::INTEGER AS impairment_level, representation, n::BIGINT AS num_iq_samples_dataset, most::BIGINT AS num_signals_max
+FROM b CROSS JOIN k CROSS JOIN p UNION ALL SELECT 'narrowband_toy', 100, 42, 0, 'iq', 4096, 1"""
+_rails = "round(CASE WHEN first THEN q ELSE i END::FLOAT::DOUBLE, 6) + 0e0 AS v FROM iq CROSS JOIN (SELECT unnest([true, false]) AS first) AS f"
+SQL["tf_ComplexTo2D"] = f"WITH {IQ} SELECT vec_id AS sample_id, n + CASE WHEN first THEN 0 ELSE 32 END AS k, {_rails}"
+SQL["tf_InterleaveComplex"] = f"WITH {IQ} SELECT vec_id AS sample_id, 2 * n + CASE WHEN first THEN 0 ELSE 1 END AS k, {_rails}"
+SQL["gen_family"] = f"""WITH c AS ({SQL['gen_classes']}), f AS (SELECT family, row_number() OVER (ORDER BY min(class_index)) - 1 AS k, list(class_name ORDER BY class_index) AS names FROM c GROUP BY family), r AS (SELECT DISTINCT run_id AS copy FROM writer_runs)
+SELECT family, k::INTEGER AS family_index, names[floor({rng.uniform_sql(3, 'family', 'family', 'copy')} * len(names))::INTEGER + 1] AS class_name, copy, 256::INTEGER AS n FROM f CROSS JOIN r"""

@@ -236,33 +236,17 @@ def lbl_class_table(spark, d):
     return labels.class_table(bursts(spark, d))
 
 
-COLLECT = BURSTS + ", c AS (SELECT sample_id, list(snr_db ORDER BY comp_no) AS v FROM bursts WHERE comp_no <= 1 + sample_id % 5 GROUP BY sample_id)"
+COLLECT = BURSTS + ", c AS (SELECT sample_id, list(snr_db ORDER BY comp_no) AS v FROM bursts GROUP BY sample_id)"
 
 
 @q("lbl_collect", f"WITH {COLLECT} SELECT sample_id, len(v)::INTEGER AS n, array_to_string(list_transform(v, lambda x: x::INTEGER::VARCHAR), ',') AS labels FROM c")
 def lbl_collect(spark, d):
-    x = labels.collected(bursts(spark, d).where(F.col("comp_no") <= 1 + F.col("sample_id") % 5), ["sample_id"], "comp_no", F.col("snr_db"))
+    x = labels.collected(bursts(spark, d), ["sample_id"], "comp_no", F.col("snr_db"))
     return x.select("sample_id", F.size("labels").alias("n"), F.array_join(F.transform("labels", lambda v: v.cast("int").cast("string")), ",").alias("labels"))
 
 
 @q("lbl_pad", f"WITH {COLLECT}, m AS (SELECT sample_id, sample_id // 8 AS batch, v, max(len(v)) OVER (PARTITION BY sample_id // 8) AS most FROM c) SELECT batch::BIGINT AS batch, sample_id, most::INTEGER AS n, list_sum(v) AS total FROM m")
 def lbl_pad(spark, d):
-    x = labels.collected(bursts(spark, d).where(F.col("comp_no") <= 1 + F.col("sample_id") % 5), ["sample_id"], "comp_no", F.col("snr_db"))
-    x = labels.padded_batches(x, F.floor(F.col("sample_id") / 8))
-    return x.select("batch", "sample_id", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0.0), lambda a, b: a + b).alias("total"))
-
-
-COLLECT_ALL = BURSTS + ", c AS (SELECT sample_id, list(snr_db ORDER BY comp_no) AS v FROM bursts GROUP BY sample_id)"
-
-
-@q("lbl_collect_all", f"WITH {COLLECT_ALL} SELECT sample_id, len(v)::INTEGER AS n, array_to_string(list_transform(v, lambda x: x::INTEGER::VARCHAR), ',') AS labels FROM c")
-def lbl_collect_all(spark, d):
-    x = labels.collected(bursts(spark, d), ["sample_id"], "comp_no", F.col("snr_db"))
-    return x.select("sample_id", F.size("labels").alias("n"), F.array_join(F.transform("labels", lambda v: v.cast("int").cast("string")), ",").alias("labels"))
-
-
-@q("lbl_pad_all", f"WITH {COLLECT_ALL}, m AS (SELECT sample_id, sample_id // 8 AS batch, v, max(len(v)) OVER (PARTITION BY sample_id // 8) AS most FROM c) SELECT batch::BIGINT AS batch, sample_id, most::INTEGER AS n, list_sum(v) AS total FROM m")
-def lbl_pad_all(spark, d):
     x = labels.collected(bursts(spark, d), ["sample_id"], "comp_no", F.col("snr_db"))
     x = labels.padded_batches(x, F.floor(F.col("sample_id") / 8))
     return x.select("batch", "sample_id", F.size("labels").alias("n"), F.aggregate("labels", F.lit(0.0), lambda a, b: a + b).alias("total"))
@@ -396,17 +380,9 @@ def ds_split(spark, d):
     return labels.split(t(spark, d, "signal_metadata").select("sample_id").distinct(), "sample_id", {"train": 0.7, "val": 0.2, "test": 0.1}, 7)
 
 
-@q("ds_split_counts", f"""WITH b AS (SELECT event_id, {rng.uniform_sql(7, 'count', 'event_id')} AS u FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY floor(u * 4096), u, event_id) - 1 AS k FROM b)
-SELECT event_id, CASE WHEN k < 500 THEN 'train' WHEN k < 650 THEN 'val' ELSE 'test' END AS part FROM r WHERE k < 700""")
-def ds_split_counts(spark, d):
-    from ..sources.loader import split_counts
-
-    return split_counts(t(spark, d, "events").select("event_id"), "event_id", {"train": 500, "val": 150, "test": 50}, 7)
-
-
-@q("ds_split_counts_all", f"""WITH b AS (SELECT event_id, {rng.uniform_sql(7, 'count', 'event_id')} AS u FROM events), n AS (SELECT count(*) AS n FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY floor(u * 4096), u, event_id) - 1 AS k FROM b)
+@q("ds_split_counts", f"""WITH b AS (SELECT event_id, {rng.uniform_sql(7, 'count', 'event_id')} AS u FROM events), n AS (SELECT count(*) AS n FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY floor(u * 4096), u, event_id) - 1 AS k FROM b)
 SELECT event_id, CASE WHEN k < n * 5 // 7 THEN 'train' WHEN k < n * 5 // 7 + n * 3 // 14 THEN 'val' ELSE 'test' END AS part FROM r CROSS JOIN n""")
-def ds_split_counts_all(spark, d):
+def ds_split_counts(spark, d):
     from ..sources.loader import split_counts
 
     x = t(spark, d, "events").select("event_id")
@@ -443,11 +419,6 @@ def ds_existing_runs(spark, d):
 
 
 # --- generators in SQL --------------------------------------------------------------------------------------------------------
-@q("gen_tone", "SELECT n, 1e0 AS i, 0e0 AS q FROM (SELECT unnest(range(64))::BIGINT AS n)")
-def gen_tone(spark, d):
-    return spark.range(64).select(F.col("id").alias("n"), F.lit(1.0).alias("i"), F.lit(0.0).alias("q"))
-
-
 @q("gen_chirp", "SELECT n, round(cos(2 * pi() * (-0.125e0 * n + 0.5e0 * 0.25e0 / 128 * n * n)), 6) + 0e0 AS i, round(sin(2 * pi() * (-0.125e0 * n + 0.5e0 * 0.25e0 / 128 * n * n)), 6) + 0e0 AS q FROM (SELECT unnest(range(128))::BIGINT AS n)")
 def gen_chirp(spark, d):
     i, qq = arrays.chirp(-0.125, 0.125, 128)

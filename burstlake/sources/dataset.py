@@ -14,6 +14,7 @@ from dataclasses import asdict
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import hierarchy
 from ..kernels.assemble import DatasetConfig
 
 CODECS = {"gzip": "gzip", "lzf": "lz4", "none": "uncompressed", "snappy": "snappy", "zstd": "zstd"}
@@ -171,15 +172,18 @@ def read_dataset(spark: SparkSession, root: str, sample_id: int | None = None) -
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(metadata_id, key, value): own values first, then those of the parents, up to the root of the chain."""
-    m = spark.read.parquet(f"{root.rstrip('/')}/metadata")
-    ids = m.select("metadata_id", "parent_metadata_id").distinct()
-    parents = m.select(F.col("metadata_id").alias("parent_metadata_id"), "key", F.col("value").alias("inherited"))
-    grand = ids.select(F.col("metadata_id").alias("parent_metadata_id"), F.col("parent_metadata_id").alias("grand"))
-    chain = ids.join(grand, "parent_metadata_id", "left")
-    level = [m.select("metadata_id", "key", "value", F.lit(0).alias("at")), ids.join(parents, "parent_metadata_id").select("metadata_id", "key", F.col("inherited").alias("value"), F.lit(1).alias("at"))]
-    level.append(chain.where("grand is not null").select("metadata_id", F.col("grand").alias("parent_metadata_id")).join(parents, "parent_metadata_id").select("metadata_id", "key", F.col("inherited").alias("value"), F.lit(2).alias("at")))
-    both = level[0].unionByName(level[1]).unionByName(level[2])
-    return both.groupBy("metadata_id", "key").agg(F.min_by("value", "at").alias("value"))
+    return inherited(spark.read.parquet(f"{root.rstrip('/')}/metadata"))
+
+
+def inherited(m: DataFrame) -> DataFrame:
+    """(metadata_id, key, value) of (metadata_id, parent_metadata_id, key, value): the value of the nearest node above, at any depth.
+
+    The nodes above are those of operators.hierarchy, so loops end at their node on the loop and unknown parents give nothing.
+    """
+    way = hierarchy.paths(hierarchy.hierarchy(m.select("metadata_id", "parent_metadata_id")), sep="\x00").select("metadata_id", F.reverse(F.split("path", "\x00")).alias("up"))
+    way = way.select("metadata_id", F.posexplode("up").alias("at", "above"))
+    own = m.where("metadata_id is not null").select(F.col("metadata_id").alias("above"), "key", "value")
+    return way.join(own, "above").groupBy("metadata_id", "key").agg(F.min_by("value", "at").alias("value"))
 
 
 def describe(config: DatasetConfig, width: int = 100) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..kernels.assemble import DatasetConfig, sample
-from ..kernels.ops import impairments
+from ..kernels.ops import impairments, steps
 from ..operators import pipeline
 
 COMPONENT = "struct<class_name:string,class_index:int,center_freq:double,bandwidth:double,snr_db:double,start_in_samples:bigint,duration_in_samples:bigint>"
@@ -21,8 +21,8 @@ _COMPONENT = pa.struct([("class_name", pa.string()), ("class_index", pa.int32())
 PER_BATCH = 16
 
 
-def _batch(ids, c: DatasetConfig) -> pa.RecordBatch:
-    s = [sample(int(k), c) for k in ids]
+def _batch(ids, c: DatasetConfig, more: tuple = ()) -> pa.RecordBatch:
+    s = [sample(int(k), c, more) for k in ids]
     i, q = pipeline.as_lists([x["x"] for x in s])
     n = len(s)
     full = lambda v, t: pa.array([v] * n, t)
@@ -33,11 +33,13 @@ def _batch(ids, c: DatasetConfig) -> pa.RecordBatch:
     )
 
 
-def generate(spark: SparkSession, config: DatasetConfig, partitions: int | None = None, impair: bool = True) -> DataFrame:
+def generate(spark: SparkSession, config: DatasetConfig, partitions: int | None = None, impair: bool = True, component_transforms: tuple = ()) -> DataFrame:
     """dataset_length samples, each generated on its own from (seed, sample_id); no shuffle, any partitioning gives the same rows.
 
-    The sample chain of the impairment level follows, unless ``impair`` is off.
+    ``component_transforms`` are applied to every burst after those of the impairment level.  The sample chain of the
+    level follows, unless ``impair`` is off.
     """
+    more = steps(*component_transforms)
     per = max(1, config.num_iq_samples_dataset * 8)
     n = partitions or max(spark.sparkContext.defaultParallelism, -(-config.dataset_length * per // (64 << 20)))
     ids = spark.range(0, config.dataset_length, 1, min(n, max(1, config.dataset_length)))
@@ -46,26 +48,67 @@ def generate(spark: SparkSession, config: DatasetConfig, partitions: int | None
         for b in batches:
             k = b.column(0).to_numpy()
             for a in range(0, len(k), PER_BATCH):
-                yield _batch(k[a : a + PER_BATCH], config)
+                yield _batch(k[a : a + PER_BATCH], config, more)
 
     df = ids.mapInArrow(run, SCHEMA)
     return pipeline.apply(df, *impairments(config.impairment_level)[1], seed=config.seed) if impair else df
 
 
+def default_dataset(spark: SparkSession, impairment_level: int = 0, transforms: tuple = (), component_transforms: tuple = (), **fields) -> DataFrame:
+    """A generated dataset of the usual description: impairments of the level, then the given transforms; fields are those of DatasetConfig."""
+    c = DatasetConfig(impairment_level=impairment_level, **fields)
+    return pipeline.apply(generate(spark, c, component_transforms=component_transforms), *transforms, seed=c.seed)
+
+
+def family_bursts(src: DataFrame, n: int, bandwidth: float, sample_rate: float, seed: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    """(family, family_index, class_name, copy, i, q): for each row of src (family, copy) a burst of a class of the family, each as likely.
+
+    family_index is the place of the family in ``order`` (by default that of the class table).  Any name that
+    modulators.classes_of() knows is a family.
+    """
+    from ..functions import rng
+    from ..kernels.modulators import classes_of, families
+
+    order = list(order or dict.fromkeys(families().values()))
+    draw = F.lit(None).cast("string")
+    for f in order:
+        draw = F.when(F.col("family") == f, rng.choice(rng.uniform(seed, "family", "family", "copy"), classes_of(f))).otherwise(draw)
+    drawn = src.select("family", draw.alias("class_name"), "copy").where("class_name is not null")
+    made = bursts_of(drawn.select(F.concat_ws("|", "family", "class_name").alias("class_name"), "copy"), n, bandwidth, sample_rate, seed, _of_family)
+    made = made.withColumns({"family": F.substring_index("class_name", "|", 1), "class_name": F.substring_index("class_name", "|", -1)})
+    return made.select("family", (F.array_position(F.array(*map(F.lit, order)), F.col("family")) - 1).cast("int").alias("family_index"), "class_name", "copy", "i", "q")
+
+
+def _of_family(name: str, *how):
+    from ..kernels.modulators import modulate
+
+    return modulate(name.split("|")[1], *how)
+
+
 def bursts(spark: SparkSession, names: list[str], n: int, bandwidth: float, sample_rate: float, each: int = 1, seed: int = 0) -> DataFrame:
     """(class_name, copy, i, q): plain bursts of the named classes."""
-    from ..kernels.assemble import generator
+    src = spark.createDataFrame([(c, j) for c in names for j in range(each)], "class_name string, copy bigint").repartition(min(len(names) * each, spark.sparkContext.defaultParallelism * 2))
+    return bursts_of(src, n, bandwidth, sample_rate, seed)
+
+
+def bursts_of(src: DataFrame, n: int, bandwidth: float, sample_rate: float, seed: int = 0, make=None) -> DataFrame:
+    """(class_name, copy, i, q): one burst for each row of src (class_name, copy), drawn by a counter keyed by seed, class and copy.
+
+    ``make`` is another modulator with the arguments of kernels.modulators.modulate().
+    """
+    from ..kernels.draws import Counter, stream_key
     from ..kernels.modulators import modulate
 
-    src = spark.createDataFrame([(k, c, j) for k, c in enumerate(names) for j in range(each)], "k int, class_name string, copy int").repartition(min(len(names) * each, spark.sparkContext.defaultParallelism * 2))
+    make = make or modulate
 
     def run(batches):
         for b in batches:
-            k, c, j = (col.to_pylist() for col in b.columns)
-            i, q = pipeline.as_lists([modulate(name, bandwidth, sample_rate, n, generator(seed, x * 1000 + y, 7)) for x, name, y in zip(k, c, j)])
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), i, q], names=["class_name", "copy", "i", "q"])
+            for a in range(0, b.num_rows, PER_BATCH):
+                part = b.slice(a, PER_BATCH)
+                i, q = pipeline.as_lists([make(name, bandwidth, sample_rate, n, Counter(stream_key(seed, name, k))) for name, k in zip(*(c.to_pylist() for c in part.columns))])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), i, q], names=["class_name", "copy", "i", "q"])
 
-    return src.mapInArrow(run, "class_name string, copy int, i array<float>, q array<float>")
+    return src.select("class_name", F.col("copy").cast("bigint").alias("copy")).mapInArrow(run, "class_name string, copy bigint, i array<float>, q array<float>")
 
 
 def select_targets(df: DataFrame, target_labels: list[str] | None, single: bool) -> DataFrame:

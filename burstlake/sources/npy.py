@@ -23,18 +23,21 @@ CLASSES = ("BPSK", "QPSK", "Noise")
 SCHEMA = "idx bigint, i array<float>, q array<float>, file_no int, at bigint"
 
 
-def locate(idx: DataFrame, files: DataFrame, file_key: str, count: str = "n", most: int = 1_000_000) -> DataFrame:
+def locate(idx: DataFrame, files: DataFrame, file_key: str, count: str = "n") -> DataFrame:
     """(idx, file_key, at): the file that holds a global position, and the position in it.
 
-    A join of ranges: the files' start positions are a running sum over the file list (a checked small
-    table), positions outside every file are left out.
+    A join of ranges as an equi-join: positions are cut into cells as wide as a file is long on average, a file has a row in
+    each cell it touches (at most two for each file altogether) and a position meets only the files of its cell.  The files'
+    start positions are a running sum over the file list; positions outside every file are left out.
     """
-    if files.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} files")
     w = Window.orderBy(file_key)
     f = files.select(file_key, F.coalesce(F.col(count), F.lit(0)).cast("bigint").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     f = f.withColumn("_end", F.col("_start") + F.col("_n")).where("_n > 0")
-    return idx.join(F.broadcast(f), (F.col("idx") >= F.col("_start")) & (F.col("idx") < F.col("_end"))).withColumn("at", F.col("idx") - F.col("_start")).drop("_start", "_end", "_n")
+    wide = F.broadcast(f.agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") / F.count(F.lit(1)))).cast("bigint").alias("_wide")))
+    cell = lambda c: F.floor(c / F.col("_wide"))
+    f = f.join(wide).withColumn("_cell", F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_end") - 1)))).drop("_wide")
+    d = idx.join(wide).withColumn("_cell", cell(F.col("idx"))).drop("_wide")
+    return d.join(f, "_cell").where((F.col("idx") >= F.col("_start")) & (F.col("idx") < F.col("_end"))).withColumn("at", F.col("idx") - F.col("_start")).drop("_start", "_end", "_n", "_cell")
 
 
 def read_info(root: str) -> int:

@@ -223,7 +223,14 @@ def test_split_by_counts_covers_the_table(spark, tmp_path):
     spark.range(1999).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    got = sorted(map(tuple, e.queries()["ds_split_counts_all"](spark, str(tmp_path)).collect()))
-    assert got == sorted(con.execute(e.oracle_sql()["ds_split_counts_all"]).fetchall()) and len({k for k, _ in got}) == 1999
+    got = sorted(map(tuple, e.queries()["ds_split_counts"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(e.oracle_sql()["ds_split_counts"]).fetchall()) and len({k for k, _ in got}) == 1999
     n = [sum(p == x for _, p in got) for x in ("train", "val", "test")]
     assert n == [1427, 428, 144]
+
+
+def test_metadata_is_inherited_at_any_depth(spark):
+    rows = [("a", None, "x", "1"), ("a", None, "y", "2"), ("b", "a", "y", "3"), ("c", "b", "z", "4"), ("d", "c", "w", "5"), ("e", "d", "x", "6"), ("l", "m", "x", "7"), ("m", "l", "y", "8")]
+    m = spark.createDataFrame(rows, "metadata_id string, parent_metadata_id string, key string, value string")
+    got = {(r.metadata_id, r.key): r.value for r in dataset.inherited(m).collect()}
+    assert {k: got["d", k] for k in "wxyz"} == {"w": "5", "x": "1", "y": "3", "z": "4"} and got["e", "x"] == "6" and got["e", "w"] == "5" and got["l", "x"] == "7"

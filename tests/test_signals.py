@@ -391,10 +391,49 @@ def test_all_labels_of_hot_and_ragged_samples(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    for name in ("lbl_collect_all", "lbl_pad_all"):
+    for name in ("lbl_collect", "lbl_pad"):
         df = e.queries()[name](spark, str(tmp_path))
         cur = con.execute(e.oracle_sql()[name])
         assert df.columns == [c[0] for c in cur.description]
         assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
-    got = {r.sample_id: r.n for r in e.queries()["lbl_collect_all"](spark, str(tmp_path)).collect()}
+    got = {r.sample_id: r.n for r in e.queries()["lbl_collect"](spark, str(tmp_path)).collect()}
     assert sum(got.values()) == len(rows) and got[1] == 400
+
+
+def test_counter_draws():
+    from burstlake.kernels.draws import Counter, stream_key
+
+    r = Counter(stream_key(7, "a", 1))
+    a, b = r.random(1000), r.random(1000)
+    assert not set(a) & set(b) and abs(a.mean() - 0.5) < 0.03 and (Counter(stream_key(7, "a", 1)).random(2000)[1000:] == b).all()
+    g = r.standard_normal(20_000)
+    assert abs(g.mean()) < 0.03 and abs(g.std() - 1) < 0.03 and abs(np.mean(g**4) - 3) < 0.3
+    assert sorted(r.permutation(50).tolist()) == list(range(50)) and len(set(r.choice(50, 9, replace=False).tolist())) == 9
+    k = r.integers(3, 7, (40, 30))
+    assert k.shape == (40, 30) and set(k.ravel().tolist()) == {3, 4, 5, 6} and isinstance(r.integers(5), int)
+    p = np.bincount(r.choice(3, 9000, p=[0.2, 0.5, 0.3]), minlength=3) / 9000
+    assert np.abs(p - [0.2, 0.5, 0.3]).max() < 0.03
+
+
+def test_a_wrong_sign_is_seen(spark, monkeypatch):
+    """The checksum of the transform queries tells an op that did nothing or turned the wrong way from the right one."""
+    from burstlake.plans.generated import _stats
+
+    x = spark.createDataFrame([(1, [1.0, 2.0, 3.0], [0.5, -1.0, 2.0])], "sample_id bigint, i array<float>, q array<float>")
+    sums = {_stats(y, "sample_id").first().checksum for y in (x, x.selectExpr("sample_id", "q AS i", "i AS q"), x.selectExpr("sample_id", "i", "transform(q, v -> -v) AS q"), x.selectExpr("sample_id", "reverse(i) AS i", "reverse(q) AS q"))}
+    assert len(sums) == 4
+
+
+def test_prototype_of_ten_thousand_branches():
+    assert dsp.stopband_db(dsp.prototype(10_000), 1.5 / 20_000, 1.0) >= 119
+
+
+def test_ranges_are_found_without_nested_loops(spark):
+    from burstlake.sources.npy import locate
+
+    files = spark.createDataFrame([(k, n) for k, n in enumerate([0, 5, 1, 100, None, 3])], "f int, n bigint")
+    got = sorted(tuple(r) for r in locate(spark.range(112).withColumnRenamed("id", "idx"), files, "f").select("idx", "f", "at").collect())
+    want = [(i, f, a) for i, (f, a) in enumerate((f, a) for f, n in ((1, 5), (2, 1), (3, 100), (5, 3)) for a in range(n))]
+    assert got == want
+    plan = locate(spark.range(9).withColumnRenamed("id", "idx"), files, "f")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan
