@@ -115,8 +115,16 @@ WHERE abs(l.x - CASE l.pct WHEN 50 THEN r.ref_p50 ELSE r.ref_p95 END) > 0.25 * r
 """
 
 
-def _look_sql() -> str:
-    """Pairs by nfc_normalize() and translate(), which takes accented look-alikes of the Greek and Cyrillic blocks one by one."""
+# No case depends on the tokenizer, so code points do for tokens.
+SHORT = """
+WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents WHERE length(text) > 0),
+     t AS (SELECT lower(trim(source)) AS source, target_weight, max_repeats, coalesce((SELECT sum(n) FROM d WHERE d.source = lower(trim(t.source))), 0) AS n FROM source_targets t)
+SELECT source FROM t WHERE max_repeats * n < target_weight * (SELECT sum(n) FROM t)
+"""
+
+
+def _form_sql() -> str:
+    """f(doc_id, text, look) by nfc_normalize() and translate(), which takes accented look-alikes of the Greek and Cyrillic blocks one by one."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     plain = "".join(map(chr, range(0x21, 0x7F)))
     single = {k: v for k, v in visual.LOOK_ALIKE.items() if len(v) == 1}
@@ -126,7 +134,11 @@ def _look_sql() -> str:
     q = lambda s: s.replace("'", "''")
     return f"""
 WITH f AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize(regexp_replace(text, '\\p{{Cf}}', '', 'g')), '{q(a)}', '{q(b)}')) AS look
-           FROM documents WHERE text IS NOT NULL)
+           FROM documents WHERE text IS NOT NULL)"""
+
+
+def _look_sql() -> str:
+    return f"""{_form_sql()}
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.look = b.look AND a.doc_id < b.doc_id WHERE a.text <> b.text
 """
 
@@ -135,5 +147,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT label_class, modcod FROM ({CELLS}) WHERE available < wanted",
         "p4_found": VALUES,
+        "p7_found": SHORT,
+        "p8_classes": f"{_form_sql()} SELECT doc_id, min(doc_id) OVER w AS look_class, count(*) OVER w AS n_same_look, n_stored_forms FROM f JOIN (SELECT look, count(DISTINCT text) AS n_stored_forms FROM f GROUP BY look) USING (look) WINDOW w AS (PARTITION BY look)",
         "p8_found": _look_sql(),
     }

@@ -370,7 +370,7 @@ def look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     members = cut(ids.join(forms.select("_stored"), "_stored", "left_semi").select("_stored", F.col(key).alias("_k")))
     b = forms.select("_look", F.col("_stored").alias("_other"), F.col("_m").alias("_n"))
     # the form with more copies comes first: its rows are the ones that get salted
-    pairs = forms.join(b, "_look").where((F.col("_m") > F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("_stored") < F.col("_other")))).select("_stored", "_other")
+    pairs = salted_join(forms, b, ["_look"], spread="_stored").where((F.col("_m") > F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("_stored") < F.col("_other")))).select("_stored", "_other")
     left = salted_join(members, pairs, ["_stored"], spread="_k").select(F.col("_other").alias("_stored"), F.col("_k").alias("_k1"))
     both = salted_join(left, members.withColumnRenamed("_k", "_k2"), ["_stored"], spread="_k1")
     return both.where("_k1 <> _k2").select(F.least("_k1", "_k2").alias(f"{key}_a"), F.greatest("_k1", "_k2").alias(f"{key}_b")).distinct()
