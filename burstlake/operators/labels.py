@@ -98,6 +98,11 @@ def class_counts(df: DataFrame, name: str = "class_name") -> DataFrame:
     return df.groupBy(F.lower(F.trim(name)).alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def rollup_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n): counts at every level of the columns, from all of them down to the whole."""
+    return df.rollup(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(bin, low, high, n) of equal-width bins between minimum and maximum, the last one closed; empty bins have no row.
 

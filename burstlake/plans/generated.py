@@ -115,20 +115,44 @@ def gen_tone(spark, d):
     return x.select(F.col("n").cast("bigint").alias("n"), F.col("x.i").cast("double").alias("i"), F.col("x.q").cast("double").alias("q"))
 
 
+def _config(spark, d, base=NARROW, every: int = 1, **fields) -> DatasetConfig:
+    """The description with as many samples as there are writer runs, or one for ``every`` of them."""
+    n = -(-spark.read.parquet(f"{d}/writer_runs.parquet").select("run_id").distinct().count() // every)
+    return DatasetConfig(**({f: getattr(base, f) for f in base.__dataclass_fields__} | {"dataset_length": n} | fields))
+
+
 @q
 def gen_dataset(spark, d):
     """Generated samples with up to three signals, impaired at level 2: metadata of every component."""
-    c = DatasetConfig(**({f: getattr(NARROW, f) for f in NARROW.__dataclass_fields__} | {"impairment_level": 2}))
+    c = _config(spark, d, impairment_level=2)
     df = generator.with_yolo(generator.generate(spark, c))
     return df.select("sample_id", F.size("i").alias("n"), F.posexplode("components").alias("comp_no", "c")).select("sample_id", "n", "comp_no", "c.*")
 
 
 @q
 def gen_source(spark, d):
-    """The same samples through the data source, without sample impairments."""
+    """The same samples through the data source, without sample impairments; whether each equals the generated one."""
+    c = _config(spark, d)
     spark.dataSource.register(generator.BurstDataSource)
-    df = spark.read.format("bursts").option("config", generator.config_json(NARROW)).load()
-    return df.select("sample_id", F.size("i").alias("n"), F.size("components").alias("n_signals"))
+    df = spark.read.format("bursts").option("config", generator.config_json(c)).load()
+    return _same(df, generator.generate(spark, c, impair=False))
+
+
+def _same(a, b):
+    """(sample_id, n, same): whether the samples of a have the checksum and the components that those of b have."""
+    look = lambda x: _stats(x, "sample_id", F.to_json(F.col("components")).alias("parts"))
+    b = look(b).select("sample_id", *[F.col(c).alias(f"_{c}") for c in ("n", "mean_power", "checksum", "parts")])
+    same = (F.col("n") == F.col("_n")) & (F.col("mean_power") == F.col("_mean_power")) & (F.col("checksum") == F.col("_checksum")) & F.col("parts").eqNullSafe(F.col("_parts"))
+    return look(a).join(b, "sample_id").select("sample_id", "n", F.coalesce(same, F.lit(False)).alias("same"))
+
+
+@q
+def gen_wideband(spark, d):
+    """Wide-band samples of 262 144 points with three to five signals: whether noise level, boxes and counts are what they should be."""
+    c = _config(spark, d, dataset.shipped_configs()["wideband_clean_train"], every=10)
+    x = generator.generate(spark, c)
+    inside = F.forall("components", lambda k: (k["start_in_samples"] >= 0) & (k["start_in_samples"] + k["duration_in_samples"] <= c.num_iq_samples_dataset) & (k["bandwidth"] > 0) & (F.abs(k["center_freq"]) + k["bandwidth"] / 2 <= c.sample_rate / 2 + 1))
+    return x.select("sample_id", F.size("i").alias("n"), F.size("components").between(1, c.num_signals_max).alias("counted"), inside.alias("inside"))
 
 
 def _layout(name):
@@ -208,17 +232,18 @@ def spec_images(spark, d):
 
 @q
 def io_dataset_round_trip(spark, d):
-    """Generated, stored, read back: components of every sample as stored."""
-    root = f"{ensure_checkpoint_dir(spark)}/dataset-{uuid.uuid4().hex}"
-    dataset.write_dataset(generator.generate(spark, NARROW), root, NARROW)
-    return dataset.read_dataset(spark, root).select("sample_id", F.size("i").alias("n"), F.size("components").alias("n_signals"), "bandwidth")
+    """Generated, stored, read back: whether each sample is what it was, with its components in order."""
+    root, c = f"{ensure_checkpoint_dir(spark)}/dataset-{uuid.uuid4().hex}", _config(spark, d)
+    dataset.write_dataset(generator.generate(spark, c), root, c)
+    back = dataset.read_dataset(spark, root).withColumn("components", F.transform("components", lambda k: k.dropFields("comp_no")))
+    return _same(back, generator.generate(spark, c))
 
 
 @q
 def io_dataset_metadata(spark, d):
     """Metadata of each generator with what it inherits from its dataset."""
-    root = f"{ensure_checkpoint_dir(spark)}/dataset-{uuid.uuid4().hex}"
-    dataset.write_dataset(generator.generate(spark, NARROW), root, NARROW)
+    root, c = f"{ensure_checkpoint_dir(spark)}/dataset-{uuid.uuid4().hex}", _config(spark, d)
+    dataset.write_dataset(generator.generate(spark, c), root, c)
     return dataset.read_metadata(spark, root)
 
 
@@ -311,3 +336,10 @@ SQL["tf_ComplexTo2D"] = f"WITH {IQ} SELECT vec_id AS sample_id, n + CASE WHEN fi
 SQL["tf_InterleaveComplex"] = f"WITH {IQ} SELECT vec_id AS sample_id, 2 * n + CASE WHEN first THEN 0 ELSE 1 END AS k, {_rails}"
 SQL["gen_family"] = f"""WITH c AS ({SQL['gen_classes']}), f AS (SELECT family, row_number() OVER (ORDER BY min(class_index)) - 1 AS k, list(class_name ORDER BY class_index) AS names FROM c GROUP BY family), r AS (SELECT DISTINCT run_id AS copy FROM writer_runs)
 SELECT family, k::INTEGER AS family_index, names[floor({rng.uniform_sql(3, 'family', 'family', 'copy')} * len(names))::INTEGER + 1] AS class_name, copy, 256::INTEGER AS n FROM f CROSS JOIN r"""
+_length = "(SELECT unnest(range(n))::BIGINT AS sample_id FROM (SELECT count(DISTINCT run_id) AS n FROM writer_runs))"
+SQL["gen_source"] = SQL["io_dataset_round_trip"] = f"SELECT sample_id, 4096::INTEGER AS n, true AS same FROM {_length}"
+SQL["gen_wideband"] = f"SELECT sample_id, 262144::INTEGER AS n, true AS counted, true AS inside FROM {_length.replace('count(DISTINCT run_id)', '(count(DISTINCT run_id) + 9) // 10')}"
+SQL["spec_images"] = "SELECT vec_id AS sample_id, 16::INTEGER AS h, 3::INTEGER AS w, 3::INTEGER AS c, 144::INTEGER AS bytes FROM embeddings"
+_kept = {k: str(v) for k, v in NARROW.metadata().items() if v is not None}
+SQL["io_dataset_metadata"] = f"""WITH v AS (SELECT unnest([{', '.join(f"'{k}'" for k in _kept)}]) AS key, unnest([{', '.join(f"'{v}'" for v in _kept.values())}]) AS value), c AS ({SQL['gen_classes']})
+SELECT 'dataset' AS metadata_id, key, value FROM v UNION ALL SELECT 'generator-' || class_name, key, value FROM c CROSS JOIN v UNION ALL SELECT 'generator-' || class_name, 'class_name', class_name FROM c"""

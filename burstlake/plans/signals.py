@@ -226,7 +226,7 @@ SELECT sample_id, comp_no, class_index::INTEGER AS class_index, round(start_in_s
   round(duration_in_samples / num_iq_samples_dataset, 9) AS w, round(bandwidth / sample_rate, 9) AS h FROM bursts JOIN k USING (class_name)""")
 def lbl_yolo(spark, d):
     b = bursts(spark, d)
-    x = scalar.with_derived(b).join(F.broadcast(labels.class_table(b)), "class_name")
+    x = scalar.with_derived(b).join(labels.class_table(b), "class_name")
     box = labels.yolo(F.col("start"), F.col("duration"), F.col("center_freq"), F.col("bandwidth"), F.col("sample_rate"))
     return x.select("sample_id", "comp_no", "class_index", *[F.round(c, 9).alias(k) for k, c in box.items()])
 
@@ -295,9 +295,10 @@ def meta_inherit(spark, d):
 
 @q("meta_signal_fields", "SELECT s.signal_id, s.sample_id, coalesce(s.class_name, g.class_name) AS class_name, s.snr_db >= g.snr_db_min AND s.snr_db <= g.snr_db_max AS snr_in_range FROM signal_metadata s LEFT JOIN signal_generators g USING (generator_id)")
 def meta_signal_fields(spark, d):
-    g = t(spark, d, "signal_generators").select("generator_id", F.col("class_name").alias("g_name"), "snr_db_min", "snr_db_max")
-    s = t(spark, d, "signal_metadata").select("generator_id", "signal_id", "sample_id", "class_name", "snr_db").join(F.broadcast(g), "generator_id", "left")
-    return s.select("signal_id", "sample_id", F.coalesce("class_name", "g_name").alias("class_name"), ((F.col("snr_db") >= F.col("snr_db_min")) & (F.col("snr_db") <= F.col("snr_db_max"))).alias("snr_in_range"))
+    g = t(spark, d, "signal_generators").select("generator_id", "class_name", "snr_db_min", "snr_db_max")
+    s = t(spark, d, "signal_metadata").select("generator_id", "signal_id", "sample_id", "class_name", "snr_db", *[F.lit(None).cast("double").alias(c) for c in ("snr_db_min", "snr_db_max")])
+    s = labels.inherit(s, g, "generator_id", ["class_name", "snr_db_min", "snr_db_max"])
+    return s.select("signal_id", "sample_id", "class_name", ((F.col("snr_db") >= F.col("snr_db_min")) & (F.col("snr_db") <= F.col("snr_db_max"))).alias("snr_in_range"))
 
 
 # --- random ----------------------------------------------------------------------------------------------------------------
@@ -372,7 +373,7 @@ def sum_signals_per_sample(spark, d):
 @q("sum_rollup", "SELECT family, s.class_name, count(*) AS n FROM signal_metadata s JOIN signal_generators g USING (generator_id) GROUP BY ROLLUP (family, s.class_name)")
 def sum_rollup(spark, d):
     g_ = t(spark, d, "signal_generators").select("generator_id", "family")
-    return t(spark, d, "signal_metadata").select("generator_id", "class_name").join(F.broadcast(g_), "generator_id").rollup("family", "class_name").agg(F.count(F.lit(1)).alias("n"))
+    return labels.rollup_counts(t(spark, d, "signal_metadata").select("generator_id", "class_name").join(g_, "generator_id"), ["family", "class_name"])
 
 
 @q("ds_split", f"SELECT sample_id, CASE WHEN {rng.uniform_sql(7, 'split', 'sample_id')} < 0.7e0 THEN 'train' WHEN {rng.uniform_sql(7, 'split', 'sample_id')} < 0.7e0 + 0.2e0 THEN 'val' ELSE 'test' END AS part FROM (SELECT DISTINCT sample_id FROM signal_metadata)")
@@ -413,9 +414,9 @@ def ds_range_join(spark, d):
 
 @q("ds_existing_runs", "SELECT run_id, lower(file_handler) AS handler, CASE WHEN NOT is_complete THEN 'partial' WHEN items_written IS DISTINCT FROM dataset_length_requested THEN 'miscounted' ELSE 'complete' END AS state FROM writer_runs")
 def ds_existing_runs(spark, d):
-    r = t(spark, d, "writer_runs")
-    state = F.when(~F.col("is_complete"), "partial").when(~F.col("items_written").eqNullSafe(F.col("dataset_length_requested")), "miscounted").otherwise("complete")
-    return r.select("run_id", F.lower("file_handler").alias("handler"), state.alias("state"))
+    from ..sources.dataset import run_states
+
+    return run_states(t(spark, d, "writer_runs"))
 
 
 # --- generators in SQL --------------------------------------------------------------------------------------------------------
@@ -459,6 +460,6 @@ def gen_gaussian_taps(spark, d):
 
 @q("win_event_hours", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def win_event_hours(spark, d):
-    w = F.window("ts", "1 hour")
-    x = t(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return r6(x.select(F.col("w.start").alias("hour"), "event_type", "n", "total"), "total")
+    from ..streaming.windows import tumbling
+
+    return r6(tumbling(t(spark, d, "events"), "ts", "value", "1 hour", ("event_type",)).select(F.col("start").alias("hour"), "event_type", "n", "total"), "total")

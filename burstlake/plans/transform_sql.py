@@ -67,6 +67,17 @@ def peak(name: str, src: str) -> str:
   FROM (SELECT sample_id, k, i, q, {w} AS w, 2 * pi() * ((k * n) % {N}) / {N} AS t FROM {src} CROSS JOIN (SELECT unnest(range({N})) AS k) AS r) GROUP BY sample_id, k) GROUP BY sample_id)"""
 
 
+def bank(branches: int) -> str:
+    """hh(k, h): the prototype of a polyphase bank of this many branches, times their number: a Kaiser-windowed sinc with the length of the kernel's."""
+    n = len(dsp.prototype(branches))
+    half, edge = (n - 1) / 2, 1 / (2 * branches)
+    beta = f"(0.1102e0 * (2.285e0 * {n - 1} * pi() * {lit(edge)} / 0.5e0 + 7.95e0 - 8.7e0))"
+    i0 = lambda x: f"CASE WHEN {x} <= 0 THEN 1e0 ELSE list_sum(list_transform(range(60), lambda j: exp(2 * (j * ln({x} / 2) - lgamma(j + 1e0))))) END"
+    arg = f"({beta} * sqrt(greatest(0e0, 1 - pow((k - {half}) / {half}, 2))))"
+    sinc = f"CASE WHEN k = {half} THEN 1e0 ELSE sin(pi() * {lit(edge / 0.5)} * (k - {half})) / (pi() * {lit(edge / 0.5)} * (k - {half})) END"
+    return f"hr AS (SELECT k, {sinc} * {i0(arg)} AS v FROM (SELECT unnest(range({n}))::BIGINT AS k)), hh AS MATERIALIZED (SELECT k, v / (SELECT sum(v) FROM hr) * {branches} AS h FROM hr)"
+
+
 def rotated(angle: str) -> tuple[str, str]:
     return f"i * cos({angle}) - q * sin({angle})", f"i * sin({angle}) + q * cos({angle})"
 
@@ -200,6 +211,26 @@ def _one(name: str) -> dict | None:
   FROM par JOIN dr a USING (sample_id) JOIN dr b ON b.sample_id = a.sample_id AND b.c = a.c + round_even(count, 0)::BIGINT WHERE a.c < round_even(count, 0)) a),
  ad AS (SELECT sample_id, n, sum(amp * cos(2 * pi() * f * n)) AS a, sum(amp * sin(2 * pi() * f * n)) AS b FROM tn CROSS JOIN (SELECT unnest(range({N}))::BIGINT AS n) AS r GROUP BY 1, 2)"""
             return {"ctes": [stream(8), tn], "i": "i + a", "q": "q + b", "source": _from("ad")}
+        case "ClockDrift" | "ClockJitter":
+            b = dsp.CLOCK_BRANCHES
+            t = -(-len(dsp.prototype(b)) // b)
+            stop = N + t - 1
+            m, front = stop + 64, -(-(stop - 1 - N) // 2)
+            ppm = "drift_ppm" if name == "ClockDrift" else "jitter_ppm"
+            own = f"sum(g * {ppm} * 1e-6) OVER (PARTITION BY sample_id ORDER BY n)" if name == "ClockDrift" else f"g * {ppm} * 1e-6"
+            tr = f"""tr AS (SELECT sample_id, n, 1e0 + coalesce(sum(step) OVER (PARTITION BY sample_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS q FROM (SELECT sample_id, n, {b}e0 + {own} AS step FROM g1 JOIN par USING (sample_id))),
+ ph AS (SELECT *, greatest(0, least({b - 1}, floor(q - a * {b})))::BIGINT AS phase FROM (SELECT *, floor(q / {b})::BIGINT AS a, count(*) OVER (PARTITION BY sample_id) AS many FROM tr WHERE floor(q / {b}) < {stop})),
+ cv AS (SELECT ph.sample_id, ph.n - {front} AS n, sum(x.i * h) AS i, sum(x.q * h) AS q FROM ph JOIN sig x ON x.sample_id = ph.sample_id AND x.n <= a AND x.n > a - {t} JOIN hh ON hh.k = (a - x.n) * {b} + phase WHERE ph.n < many - 1 GROUP BY 1, 2),
+ ot AS (SELECT sample_id, n, coalesce(cv.i, 0e0) AS i, coalesce(cv.q, 0e0) AS q FROM (SELECT sample_id, n FROM sig) LEFT JOIN cv USING (sample_id, n))"""
+            return {"ctes": [bank(b), stream(4 * m), gauss("g1", str(2 * m if name == "ClockDrift" else 0), str(m)), tr], "i": "i", "q": "q", "source": "ot JOIN par USING (sample_id)"}
+        case "Doppler":
+            b = dsp.PROTOTYPE_BRANCHES
+            n = len(dsp.prototype(b))
+            a = "(speed / (speed - velocity))"
+            pr = f"pr AS (SELECT sample_id, 1 / {a} AS rate, {N} + ceil({N} * ({a} - 1))::BIGINT + 1 AS many FROM par), pq AS (SELECT *, ceil({b} / rate)::BIGINT AS down, {n - 1} / {b}e0 * rate AS trim FROM pr), pz AS (SELECT *, -((-((many - 1) * {b} + {n})) // down) AS total FROM pq)"
+            cv = f"""cv AS (SELECT o.sample_id, o.m - floor(trim / 2)::BIGINT AS n, sum(x.i * h) AS i, sum(x.q * h) AS q FROM (SELECT *, unnest(range(floor(trim / 2)::BIGINT, total - ceil(trim / 2)::BIGINT)) AS m FROM pz) o JOIN sig x ON x.sample_id = o.sample_id JOIN hh ON hh.k = o.m * down - x.n * {b} GROUP BY 1, 2),
+ ot AS (SELECT sample_id, n, coalesce(cv.i, 0e0) AS i, coalesce(cv.q, 0e0) AS q FROM (SELECT sample_id, n FROM sig) LEFT JOIN cv USING (sample_id, n))"""
+            return {"ctes": [bank(b), pr, cv], "i": "i", "q": "q", "source": "ot JOIN par USING (sample_id)", "center": f"0.1e0 * {a}"}
         case "TimeVaryingNoise":
             drawn_ = "(inflections > 0 AND random_regions)"
             ed = f"""kn AS (SELECT sample_id, 0::BIGINT AS a FROM par UNION ALL SELECT sample_id, {N} FROM par WHERE inflections = 0 OR random_regions UNION ALL SELECT sample_id, 2 * unnest(range(1, 12)) FROM par WHERE inflections > 0 AND NOT random_regions

@@ -134,9 +134,10 @@ def write_dataset(df: DataFrame, root: str, config: DatasetConfig, overwrite: bo
     f.write("dataset_info.yaml", to_yaml(_info(config, 0)))
     f.write("writer_info.yaml", to_yaml(writer))
     kept = df.where(F.col("sample_id") < want)
-    kept.drop("components").write.option("compression", CODECS[compression]).parquet(f"{f.root}/samples")
-    stored = spark.read.parquet(f"{f.root}/samples")
-    parts = kept.select("sample_id", F.posexplode("components").alias("comp_no", "c")).select("sample_id", "comp_no", "c.*")
+    # the samples are made once: the components are read back from the column they came in
+    kept.write.option("compression", CODECS[compression]).parquet(f"{f.root}/samples")
+    stored = spark.read.schema(kept.schema).parquet(f"{f.root}/samples")
+    parts = stored.select("sample_id", F.posexplode("components").alias("comp_no", "c")).select("sample_id", "comp_no", "c.*")
     parts.write.option("compression", CODECS[compression]).parquet(f"{f.root}/components")
     meta = [("dataset", None, k, str(v)) for k, v in (config.metadata() | (metadata or {})).items() if v is not None]
     meta += [(f"generator-{n}", "dataset", "class_name", n) for n in config.generators()[0]]
@@ -158,7 +159,7 @@ def read_dataset(spark: SparkSession, root: str, sample_id: int | None = None) -
     f = Folder(spark, root)
     if not f.exists("samples"):
         raise ValueError(f"{root} is not a dataset")
-    s, c = spark.read.parquet(f"{f.root}/samples"), spark.read.parquet(f"{f.root}/components")
+    s, c = spark.read.parquet(f"{f.root}/samples").drop("components"), spark.read.parquet(f"{f.root}/components")
     if sample_id is not None:
         n = yaml.safe_load(f.read("dataset_info.yaml"))["dataset_length"]
         if not 0 <= sample_id < n:
@@ -186,6 +187,12 @@ def inherited(m: DataFrame) -> DataFrame:
     return way.join(own, "above").groupBy("metadata_id", "key").agg(F.min_by("value", "at").alias("value"))
 
 
+def run_states(runs: DataFrame) -> DataFrame:
+    """(run_id, handler, state) of the writers' records: partial, miscounted (other than asked for, or unknown) or complete."""
+    state = F.when(~F.col("is_complete"), "partial").when(~F.col("items_written").eqNullSafe(F.col("dataset_length_requested")), "miscounted").otherwise("complete")
+    return runs.select("run_id", F.lower("file_handler").alias("handler"), state.alias("state"))
+
+
 def describe(config: DatasetConfig, width: int = 100) -> str:
     """The description as aligned text."""
     rows = {k: v for k, v in asdict(config).items() if v not in (None, {}, ())}
