@@ -123,11 +123,25 @@ SELECT source FROM t WHERE max_repeats * n < target_weight * (SELECT sum(n) FROM
 """
 
 
-def _form_sql() -> str:
+# What the published confusables add to visual.LOOK_ALIKE in the blocks of Greek and Cyrillic.
+PUBLISHED = {"α": "a", "γ": "y", "ι": "i", "ρ": "p", "υ": "u", "Ϝ": "F", "Ь": "b", "г": "r"}
+
+
+def _wider() -> dict[str, str]:
+    """These, and the Greek and Cyrillic letters that are a look-alike with accents, as the Latin letter with the same accents."""
+    out = dict(PUBLISHED)
+    for ch in map(chr, range(0x370, 0x530)):
+        d = unicodedata.normalize("NFD", ch)
+        if len(d) > 1 and len(r := unicodedata.normalize("NFC", (visual.LOOK_ALIKE | PUBLISHED).get(d[0], d[0]) + d[1:])) == 1:
+            out[ch] = r
+    return out
+
+
+def _form_sql(more: dict[str, str] | None = None) -> str:
     """f(doc_id, text, look) by nfc_normalize() and translate(), which takes accented look-alikes of the Greek and Cyrillic blocks one by one."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     plain = "".join(map(chr, range(0x21, 0x7F)))
-    single = {k: v for k, v in visual.LOOK_ALIKE.items() if len(v) == 1}
+    single = {k: v for k, v in visual.LOOK_ALIKE.items() if len(v) == 1} | (more or {})
     blanks = "      　"
     a = wide + "".join(single) + blanks + "µΩK"
     b = plain + "".join(single.values()) + " " * len(blanks) + "μΩK"
@@ -148,6 +162,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"SELECT label_class, modcod FROM ({CELLS}) WHERE available < wanted",
         "p4_found": VALUES,
         "p7_found": SHORT,
+        "p8_text": f"{_form_sql(_wider())} SELECT d.doc_id, f.look AS text_form FROM documents d LEFT JOIN f USING (doc_id)",
         "p8_classes": f"{_form_sql()} SELECT doc_id, min(doc_id) OVER w AS look_class, count(*) OVER w AS n_same_look, n_stored_forms FROM f JOIN (SELECT look, count(DISTINCT text) AS n_stored_forms FROM f GROUP BY look) USING (look) WINDOW w AS (PARTITION BY look)",
         "p8_found": _look_sql(),
     }
