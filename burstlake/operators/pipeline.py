@@ -244,10 +244,16 @@ def spectrograms(df: DataFrame, size: int, stride: int | None = None, out: str =
     """Adds the dB spectrogram as array<array<float>>, [bin from the highest frequency][frame]."""
     from ..kernels.ops import spectrogram
 
-    def make(x):
-        return spectrogram(x, size, stride).tolist()
+    return _derived(df, lambda x: spectrogram(x, size, stride), out, T.ArrayType(T.ArrayType(T.FloatType())), as_grids)
+
 
-    return _derived(df, make, out, T.ArrayType(T.ArrayType(T.FloatType())), pa.list_(pa.list_(pa.float32())))
+def as_grids(rows: list[np.ndarray | None]) -> pa.Array:
+    """Two-dimensional float arrays as nested lists, without a Python object for each value."""
+    ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    some = [r for r in rows if r is not None]
+    flat = np.concatenate([r.ravel() for r in some]) if some else np.zeros(0)
+    inner = pa.ListArray.from_arrays(ends(np.concatenate([np.full(len(r), r.shape[1]) for r in some]) if some else []), pa.array(flat.astype(np.float32)))
+    return pa.ListArray.from_arrays(ends([0 if r is None else len(r) for r in rows]), inner, mask=pa.array([r is None for r in rows]))
 
 
 def spectrogram_drops(df: DataFrame, rate=(0.001, 0.005), size=(1, 10), fill=("ffill", "bfill", "mean", "zero", "low", "min", "max", "ones"), key: str = "sample_id", seed: int = 0, column: str = "spectrogram") -> DataFrame:
@@ -289,7 +295,18 @@ def images(df: DataFrame, size: int, stride: int | None = None, black_hot: bool
     return _derived(df, make, out, schema, pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())]))
 
 
+def band_power(df: DataFrame, edge: float, sample_rate: float, out: str = "band_power") -> DataFrame:
+    """Adds the share of a signal's power at frequencies within +-edge; null for null, empty and silent signals."""
+
+    def make(x):
+        p = np.abs(np.fft.fft(x)) ** 2
+        return float(p[np.abs(np.fft.fftfreq(len(x))) * sample_rate <= edge].sum() / p.sum()) if p.any() else None
+
+    return _derived(df, make, out, T.DoubleType(), pa.float64())
+
+
 def _derived(df, make, out, kind, arrow):
+    """Adds make(signal), null for null and empty ones; ``arrow`` is its type, or what makes an Arrow array of a list of them."""
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, kind)])
     names = df.columns
@@ -298,6 +315,7 @@ def _derived(df, make, out, kind, arrow):
         for b in batches:
             at = {n: k for k, n in enumerate(names)}
             rows = [None if x is None or not len(x) else make(x) for x in as_complex(b.column(at["i"]), b.column(at["q"]))]
-            yield pa.RecordBatch.from_arrays([*(b.column(at[n]) for n in keep), pa.array(rows, arrow)], names=[*keep, out])
+            made = arrow(rows) if callable(arrow) else pa.array(rows, arrow)
+            yield pa.RecordBatch.from_arrays([*(b.column(at[n]) for n in keep), made], names=[*keep, out])
 
     return df.mapInArrow(run, schema)

@@ -91,6 +91,11 @@ def dsp_noise(spark, d):
 
 
 SQL["dsp_noise"] = "SELECT color, continuous, power, power AS mean_power, slope FROM (SELECT unnest(['white', 'pink', 'red']) AS color, unnest([0, -1, -2]) AS slope) CROSS JOIN (SELECT unnest([true, false]) AS continuous) CROSS JOIN (SELECT unnest([0.5e0, 2e0]) AS power)"
+# Lengths grown to a measured stop band have no formula: fixed values, found once; the other columns follow from the rule.
+SQL["dsp_low_pass"] = """WITH c AS (SELECT unnest([0.1e0, 0.25e0, 0.05e0]) AS cutoff, unnest([0.05e0, 0.1e0, 0.01e0]) AS width, unnest([159, 81, 785]) AS grown), p AS (SELECT *, round_even(1 / width * 120 / 22, 0)::BIGINT AS n FROM c)
+SELECT 'plain' AS kind, cutoff, width, (n + 1 - n % 2)::INTEGER AS taps, 1e0 AS gain, false AS attenuates FROM p UNION ALL SELECT 'measured', cutoff, width, grown::INTEGER, 1e0, true FROM p"""
+SQL["dsp_prototypes"] = "SELECT branches::INTEGER AS branches, taps::INTEGER AS taps, 1e0 AS gain FROM (SELECT unnest([2, 3, 8, 5000, 10000]) AS branches, unnest([35, 49, 129, 79375, 158751]) AS taps)"
+SQL["dsp_resample"] = "SELECT rate, n::INTEGER AS n, true AS peak_in_place FROM (SELECT unnest([0.2e0, 0.25e0, 0.6e0, 1e0, 1.37e0, 2e0, 3e0, 5.7e0]) AS rate, unnest([819, 1024, 2458, 4096, 5611, 8192, 12288, 23340]) AS n)"
 SQL["dsp_interpolate"] = "SELECT rate::INTEGER AS rate, (500 * rate)::INTEGER AS half_band, (500 * rate)::INTEGER AS whole, round_even(500e0 / rate, 0)::INTEGER AS decimated FROM (SELECT unnest([2, 4, 8]) AS rate)"
 SQL["dsp_clock"] = "SELECT kind, ppm, 4096::INTEGER AS n, true AS keeps_power FROM (SELECT unnest(['drift', 'jitter']) AS kind) CROSS JOIN (SELECT unnest([1e0, 10e0]) AS ppm)"
 SQL["dsp_snr"] = "SELECT snr_db, snr_db AS peak_db, true AS band_found FROM (SELECT unnest([10e0, 20e0, 30e0]) AS snr_db)"

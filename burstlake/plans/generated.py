@@ -46,8 +46,9 @@ def _stats(df, *keep):
 
 @q
 def gen_modulators(spark, d):
-    """One burst of each of the 57 classes."""
-    return _stats(generator.bursts(spark, list(families()), 8192, 1e6, 10e6, seed=3), "class_name", "copy")
+    """Bursts of each of the 57 classes, resampled to a tenth of the sample rate: length, and whether nine tenths of the power lie within it."""
+    x = generator.bursts(spark, list(families()), 8192, 1e6, 10e6, each=3, seed=3)
+    return pipeline.band_power(x, 1e6, 10e6).select("class_name", "copy", F.size("i").alias("n"), (F.col("band_power") >= 0.9).alias("in_band"))
 
 
 def _bursts(spark, d, family, n, make=None):
@@ -343,3 +344,4 @@ SQL["spec_images"] = "SELECT vec_id AS sample_id, 16::INTEGER AS h, 3::INTEGER A
 _kept = {k: str(v) for k, v in NARROW.metadata().items() if v is not None}
 SQL["io_dataset_metadata"] = f"""WITH v AS (SELECT unnest([{', '.join(f"'{k}'" for k in _kept)}]) AS key, unnest([{', '.join(f"'{v}'" for v in _kept.values())}]) AS value), c AS ({SQL['gen_classes']})
 SELECT 'dataset' AS metadata_id, key, value FROM v UNION ALL SELECT 'generator-' || class_name, key, value FROM c CROSS JOIN v UNION ALL SELECT 'generator-' || class_name, 'class_name', class_name FROM c"""
+SQL["gen_modulators"] = f"SELECT class_name, copy, 8192::INTEGER AS n, true AS in_band FROM ({SQL['gen_classes']}) CROSS JOIN (SELECT unnest(range(3)) AS copy)"
