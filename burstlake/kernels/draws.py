@@ -20,17 +20,29 @@ class Counter:
 
     def __init__(self, key: int):
         self.key, self.at = np.uint64(key & 0xFFFFFFFFFFFFFFFF), 0
+        self.held, self.since = np.zeros(0), 0
 
     def random(self, size=None):
         """Uniform in (0, 1): 53 bits of the mixed counter."""
-        n = int(np.prod(size)) if size is not None else 1
+        n = 1 if size is None else size if isinstance(size, int) else int(np.prod(size))
+        u = self._next(n)
+        return float(u[0]) if size is None else u.copy() if isinstance(size, int) else u.reshape(size).copy()
+
+    def _next(self, n: int) -> np.ndarray:
+        """The next n draws; a few at a time come from a block made ahead, which grows while they are asked for."""
+        a, self.at = self.at, self.at + n
+        if n > 64:
+            return self._mixed(a, n)
+        if a < self.since or a + n > self.since + len(self.held):
+            self.since, self.held = a, self._mixed(a, max(n, min(4_096, max(16, 4 * len(self.held)))))
+        return self.held[a - self.since : a - self.since + n]
+
+    def _mixed(self, a: int, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            z = self.key + np.arange(self.at + 1, self.at + n + 1, dtype=np.uint64) * np.uint64(STEP)
+            z = self.key + np.arange(a + 1, a + n + 1, dtype=np.uint64) * np.uint64(STEP)
             z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_A)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_B)
-        self.at += n
-        u = (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-        return float(u[0]) if size is None else u.reshape(size)
+        return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
     def uniform(self, low=0.0, high=1.0, size=None):
         return low + self.random(size) * (high - low)
