@@ -70,6 +70,20 @@ def prototype(branches: int, attenuation_db: float = 120) -> np.ndarray:
     return low_pass_measured(edge, edge, 1.0, attenuation_db)
 
 
+def by_phase(h: np.ndarray, branches: int) -> np.ndarray:
+    """[branch, tap]: the taps of each phase of a polyphase filter."""
+    t = -(-len(h) // branches)
+    out = np.zeros(t * branches)
+    out[: len(h)] = h
+    return np.ascontiguousarray(out.reshape(t, branches).T)
+
+
+@lru_cache(maxsize=16)
+def phases(branches: int) -> np.ndarray:
+    """The prototype's bank at unit gain.  Kept per worker."""
+    return by_phase(prototype(branches) * branches, branches)
+
+
 @lru_cache(maxsize=32)
 def half_band(stage: int = 0, passband: float = 0.8, attenuation_db: float = 120) -> np.ndarray:
     """Half-band low-pass of length 4k - 1 whose every second tap off the middle is zero."""
@@ -127,7 +141,7 @@ def convolve_same(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return convolve_full(x, taps)[lead : lead + len(x)]
 
 
-def resample_taps(h: np.ndarray, x: np.ndarray, up: int, down: int) -> np.ndarray:
+def resample_taps(h: np.ndarray, x: np.ndarray, up: int, down: int, bank: np.ndarray | None = None) -> np.ndarray:
     """Upsample by up, filter, downsample by down, computing only the outputs that stay.
 
     Output m needs the phase (m * down) % up of the taps and the inputs at and before (m * down) // up.
@@ -137,10 +151,8 @@ def resample_taps(h: np.ndarray, x: np.ndarray, up: int, down: int) -> np.ndarra
         padded = np.concatenate([np.zeros(len(h) - 1, x.dtype), x, np.zeros(len(h) - 1, x.dtype)])
         windows = np.lib.stride_tricks.sliding_window_view(padded, len(h))[::down]
         return np.concatenate([windows[a : a + 1_024] @ h[::-1] for a in range(0, n, 1_024)])
-    t = -(-len(h) // up)
-    bank = np.zeros(t * up)
-    bank[: len(h)] = h
-    bank = bank.reshape(t, up).T
+    bank = by_phase(h, up) if bank is None else bank
+    t = bank.shape[1]
     padded = np.concatenate([np.zeros(t - 1, x.dtype), x, np.zeros(t + down // up + 1, x.dtype)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, t)
     out = np.empty(n, np.result_type(x, np.float64))
@@ -153,8 +165,8 @@ def resample_taps(h: np.ndarray, x: np.ndarray, up: int, down: int) -> np.ndarra
 
 def resample_fraction(x: np.ndarray, rate: float) -> np.ndarray:
     """Resampling by any rate near one with a bank of 10 000 phases; the filter delay is trimmed."""
-    h = prototype(PROTOTYPE_BRANCHES) * PROTOTYPE_BRANCHES
-    y = resample_taps(h, x, PROTOTYPE_BRANCHES, math.ceil(PROTOTYPE_BRANCHES / rate))
+    h = prototype(PROTOTYPE_BRANCHES)
+    y = resample_taps(h, x, PROTOTYPE_BRANCHES, math.ceil(PROTOTYPE_BRANCHES / rate), phases(PROTOTYPE_BRANCHES))
     trim = (len(h) - 1) / PROTOTYPE_BRANCHES * rate
     return y[math.floor(trim / 2) : len(y) - math.ceil(trim / 2)]
 
@@ -163,7 +175,7 @@ def interpolate_integer(x: np.ndarray, rate: int) -> np.ndarray:
     """Interpolation by a whole number; the result is rate times as long."""
     h = prototype(rate) * rate
     lead = (len(h) - 1) // 2 - rate // 2
-    y = resample_taps(h, x, rate, 1)
+    y = resample_taps(h, x, rate, 1, phases(rate))
     return y[lead : lead + rate * len(x)]
 
 
@@ -215,11 +227,8 @@ def clock_impaired(x: np.ndarray, jitter_ppm: float, drift_ppm: float, rng: np.r
 
     The phase track does not depend on the data, so it is a cumulative sum and the outputs are one gather.
     """
-    h = prototype(branches) * branches
-    t = -(-len(h) // branches)
-    bank = np.zeros(t * branches)
-    bank[: len(h)] = h
-    bank = bank.reshape(t, branches).T
+    bank = phases(branches)
+    t = bank.shape[1]
     padded = np.concatenate([np.zeros(t - 1, complex), x, np.zeros(t, complex)])
     stop = len(padded) - t
     n = stop + 64
